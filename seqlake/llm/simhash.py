@@ -144,7 +144,6 @@ def similar_groups(prints: DataFrame, radius: int = 4, shard_rows: int = 4096) -
     ``prints`` has a long column fingerprint; nulls are ignored, repeats count once, and an empty input gives no rows.
     root orders fingerprints as unsigned numbers within tasks and as signed ones between them; it only names the group.
     """
-    spark = prints.sparkSession
     unique = materialize(prints.select("fingerprint").where("fingerprint is not null").distinct())
     count = unique.count()
     depth = max(0, min(9, int(np.ceil(np.log2(max(1, count) / shard_rows)))))
@@ -157,26 +156,25 @@ def similar_groups(prints: DataFrame, radius: int = 4, shard_rows: int = 4096) -
             f = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             out: list = []
             _route(tree, f, np.arange(len(f)), radius, np.ones(len(f), bool), 0, out)
-            for shard, rows, home in out:
-                # Queries of a shard go to it in parts; each part is compared with all of the shard's home rows.
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), shard, np.int32)), pa.array(f[rows].view(np.int64)), pa.array(home)], names=["shard", "fingerprint", "home"])
-
-    routed = materialize(unique.mapInArrow(route, "shard int, fingerprint long, home boolean"))
-    # Each shard's home rows are cut into parts of bounded size, and each part meets its queries in parts as well.
-    sizes = {r["shard"]: (r["h"], r["q"]) for r in routed.groupBy("shard").agg(F.count_if("home").alias("h"), F.count("*").alias("q")).collect()}
-    cut = {s: (-(-h // (4 * shard_rows)) or 1, -(-q // (32 * shard_rows)) or 1) for s, (h, q) in sizes.items()}
-    parts = spark.createDataFrame([(s, i, j) for s, (i, j) in cut.items()] or [(-1, 1, 1)], "shard int, hs int, qs int")
-    cells = routed.join(F.broadcast(parts), "shard")
-    mix = F.xxhash64("fingerprint", F.lit(7))
-    as_home = cells.where("home").select("shard", F.pmod(mix, F.col("hs")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("j"), "fingerprint", F.lit(True).alias("home"))
-    as_query = cells.select("shard", F.explode(F.sequence(F.lit(0), F.col("hs") - 1)).alias("i"), F.pmod(mix, F.col("qs")).cast("int").alias("j"), "fingerprint", F.lit(False).alias("home"))
+            out = [(shard, f[rows[home]].tobytes(), f[rows].tobytes()) for shard, rows, home in out if len(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["shard", "home", "query"])
+
+    # A row is a block: what a batch of fingerprints has for a shard.
+    routed = materialize(unique.mapInArrow(route, "shard int, home binary, query binary"))
+    # Each shard's home blocks are dealt into parts of bounded size, and each part meets the queries in parts as well.
+    sizes = routed.groupBy("shard").agg(F.sum(F.octet_length("home") / 8).alias("h"), F.sum(F.octet_length("query") / 8).alias("q"))
+    parts = sizes.select("shard", F.ceil(F.greatest(F.col("h"), F.lit(1)) / (4 * shard_rows)).cast("int").alias("hs"), F.ceil(F.greatest(F.col("q"), F.lit(1)) / (32 * shard_rows)).cast("int").alias("qs"))
+    cells = routed.join(F.broadcast(parts), "shard")  # at most 512 shards
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    none = F.lit(b"")
+    as_home = cells.where(F.octet_length("home") > 0).select("shard", deal("home", "hs").alias("i"), all_of("qs").alias("j"), "home", none.alias("query"))
+    as_query = cells.select("shard", all_of("hs").alias("i"), deal("query", "qs").alias("j"), none.alias("home"), "query")
 
     def search(t: pa.Table) -> pa.Table:
-        f = t.column("fingerprint").to_numpy().astype(np.int64).view(np.uint64)
-        home = t.column("home").to_numpy(zero_copy_only=False).astype(bool)
+        home, query = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64) for c in ("home", "query"))
         links: list = []
-        _search(f[home], f[~home], radius, links)
+        _search(home, query, radius, links)
         a, b = (np.concatenate([x[k] for x in links] or [np.zeros(0, np.uint64)]) for k in (0, 1))
         if len(a):
             nodes, roots = local_roots(a, b)
