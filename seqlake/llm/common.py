@@ -46,6 +46,19 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(df: DataFrame) -> list[str]:
+    """The columns of ``df``, whatever letters their names have."""
+    return [f"`{c.replace('`', '``')}`" for c in df.columns]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; a null text is empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

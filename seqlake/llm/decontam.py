@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize, quoted
 
 #: 1: the word counts; 0: it is ignored.  Together they hit every window of 5 to 13 words in which a fifth may differ.
 MASKS = ("1101", "1011")
@@ -87,4 +87,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose texts share no passage with the benchmark; all columns."""
     dirty = materialize(overlaps(docs, benchmark, text).select("__k1", "__k2").distinct())
-    return docs.select("*", *text_key(F.col(text))).join(dirty, ["__k1", "__k2"], "left_anti").select(*docs.columns)
+    names = [fresh(docs, c) for c in ("__k1", "__k2")]
+    marked = docs.select("*", *[c.alias(n) for c, n in zip(text_key(F.col(text)), names, strict=True)])
+    return marked.join(dirty.toDF(*names), names, "left_anti").select(*quoted(docs))

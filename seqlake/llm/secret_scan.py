@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize, quoted
 
 #: The patterns of the three kinds, in the order that equal starts are listed in.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -148,15 +148,16 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     A null text stays null.
     """
     found = materialize(find(docs, text, text, tuple(docs.columns)))
-    done = all_spans(found).select("__keep.*", F.col("spans").alias("__spans"))
+    spans = fresh(docs, "spans")
+    done = all_spans(found).select("__keep.*", F.col("spans").alias(spans))
     t = F.col(text)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(
-        "__spans", zero,
+        spans, zero,
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
             F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
         ),
         lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))),
     )
-    return done.withColumn(text, F.when(F.size("__spans") > 0, cut).otherwise(t)).select(*docs.columns)
+    return done.withColumn(text, F.when(F.size(spans) > 0, cut).otherwise(t)).select(*quoted(docs))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, local_roots, materialize
+from .common import components, fresh, local_roots, materialize, quoted
 
 #: Fingerprints in the sample that the top of the tree is grown on; the top's size, and so what tasks get, is bounded by it.
 TREE_SAMPLE = 20_000
@@ -206,11 +206,12 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
 
     Rows that repeat the smallest key of a group stay once.  Null keys come after all others.
     """
-    own = materialize(with_fingerprint(docs, text, "__fingerprint", shingle).withColumn("__row", F.monotonically_increasing_id()))
-    groups = similar_groups(own.select(F.col("__fingerprint").alias("fingerprint")), radius).withColumnRenamed("fingerprint", "__fingerprint")
+    mark, row = fresh(docs, "fingerprint"), fresh(docs, "row")
+    own = materialize(with_fingerprint(docs, text, mark, shingle).withColumn(row, F.monotonically_increasing_id()))
+    prints = own.select(F.col(mark).alias("fingerprint"), F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(row).alias("r")).alias("rank"))
+    groups = similar_groups(prints.select("fingerprint"), radius)
     # One row for each fingerprint first, before groups meet; equal keys are told apart by their place in the table.
-    rank = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("__row").alias("r"))
-    first = own.groupBy("__fingerprint").agg(F.min(rank).alias("rank"))
-    named = first.join(groups, "__fingerprint", "left").withColumn("__root", F.coalesce("root", "__fingerprint"))
-    winners = named.groupBy("__root").agg(F.min("rank").alias("rank")).select(F.col("rank.r").alias("__row"))
-    return own.join(winners, "__row", "left_semi").select(*docs.columns)
+    first = prints.groupBy("fingerprint").agg(F.min("rank").alias("rank"))
+    named = first.join(groups, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    winners = named.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.r").alias(row))
+    return own.join(winners, row, "left_semi").select(*quoted(docs))

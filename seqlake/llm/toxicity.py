@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, crc_mod, materialize
+from .common import ascii_lower, crc_mod, fresh, materialize, quoted
 
 #: Features: words and their beginnings of these lengths; as many of them as tell labels apart best.
 BEGINNINGS, FEATURES = (4, 5), 300
@@ -201,4 +201,5 @@ def held_out_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 def calm(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score under ``CUT``, by the same model; all columns."""
     model = train(docs.where(crc_mod(F.col(key), FOLDS) != HELD_OUT), labels, key, text)
-    return score(docs, model, text, "__score").where(F.col("__score") < CUT).select(*docs.columns)
+    name = fresh(docs, "score")
+    return score(docs, model, text, name).where(F.col(name) < CUT).select(*quoted(docs))
