@@ -99,7 +99,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """``rows`` with (lang, probability, text_lang) in place of their evidence.
 
     ``rows`` has text, declared (language), suffix (part of the address) and host, any of which may be null or empty:
-    such evidence says nothing.  Other columns pass through; none may begin with two underscores.  Without languages in
+    such evidence says nothing, and so do declarations and suffixes that are no codes of two or three letters.  Other columns pass through; none may begin with two underscores.  Without languages in
     the model lang is null.
     """
     languages, _ = model
@@ -111,8 +111,10 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     top = lambda c: F.get(names, F.array_position(c, F.array_max(c)).cast("int") - 1)
     labels = F.split(F.coalesce("host", F.lit("")), r"\.")
     own = own.withColumn("__best", top(F.col("__text"))).withColumn("__domain", F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), 2), ".")).withColumn("__top", F.element_at(labels, -1))
-    for c in ("declared", "suffix", "host"):
-        own = own.withColumn(f"__{c}", F.lower(F.coalesce(c, F.lit(""))))
+    own = own.withColumn("__host", F.lower(F.coalesce("host", F.lit(""))))
+    for c in ("declared", "suffix"):  # codes of two or three letters: there are 18 252 of them
+        code = F.lower(F.coalesce(c, F.lit("")))
+        own = own.withColumn(f"__{c}", F.when(code.rlike("^[a-z]{2,3}$"), code).otherwise(F.lit("")))
     k = len(languages)
 
     def counts(*by: str) -> DataFrame:
@@ -136,7 +138,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
         given = F.transform(F.zip_with(F.col("n"), sizes, lambda x, y: (x + 0.5) / y), lambda x: F.log(x))
         return counts(column).select(column, F.when(F.col(column) == "", F.transform(flat, lambda _: F.lit(0.0))).otherwise(given).alias(out))
 
-    found = own.join(hosts, "__host", "left").join(says("__declared", "__d"), "__declared", "left").join(says("__suffix", "__s"), "__suffix", "left")
+    found = own.join(hosts, "__host", "left").join(F.broadcast(says("__declared", "__d")), "__declared", "left").join(F.broadcast(says("__suffix", "__s")), "__suffix", "left")
     prior = F.transform("__prior", lambda x: F.log(F.greatest(x, F.lit(1e-9))))
     posterior = add(add(add(F.col("__text"), prior, 1.0), F.col("__d"), 1.0), F.col("__s"), 1.0)
     found = found.withColumn("__p", posterior).withColumn("__max", F.array_max("__p"))
