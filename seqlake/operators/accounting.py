@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import record_size
+from .state import signed_size
 
 __all__ = ["space", "should_compact", "COMPACTION_THRESHOLD"]
 
@@ -18,11 +19,10 @@ def space(log: DataFrame) -> DataFrame:
 
     One pass: each key's bytes and newest record come from one aggregate.
     """
-    sized = log.select("key", "seq", "tomb", record_size().alias("size"))
-    keys = sized.groupBy("key").agg(F.max_by(F.struct("tomb", "size"), "seq").alias("won"), F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("seq").alias("seq"))
+    keys = log.groupBy("key").agg(F.max_by(signed_size(), "seq").alias("won"), F.sum(record_size()).alias("bytes"), F.count("*").alias("n"), F.max("seq").alias("seq"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     sums = keys.agg(
-        F.count_if(~F.col("won.tomb")).alias("keys"), F.count_if("won.tomb").alias("tombstones"), zero(F.sum(F.when(~F.col("won.tomb"), F.col("won.size")))).alias("live_bytes"),
+        F.count_if(F.col("won") > 0).alias("keys"), F.count_if(F.col("won") < 0).alias("tombstones"), zero(F.sum(F.greatest("won", F.lit(0)))).alias("live_bytes"),
         zero(F.sum("bytes")).alias("total_bytes"), zero(F.max("seq")).alias("max_seq"), zero(F.sum("n")).alias("records"),
     )
     dead = F.greatest(F.col("total_bytes") - F.col("live_bytes"), F.lit(0))

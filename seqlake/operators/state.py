@@ -5,12 +5,12 @@ Filtering tombstones first would bring deleted keys back; nothing in this packag
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import record_size
 
-__all__ = ["latest", "latest_by_window", "live", "index_view", "batch_gate", "unfinished_batches", "strip_batches", "compact_log", "same_seq_conflicts"]
+__all__ = ["latest", "latest_by_window", "live", "index_view", "signed_size", "batch_gate", "unfinished_batches", "strip_batches", "compact_log", "same_seq_conflicts"]
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -30,14 +30,23 @@ def latest_by_window(log: DataFrame) -> DataFrame:
     return log.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+def signed_size() -> Column:
+    """A record's size, below zero for a tombstone."""
+    return F.when(F.col("tomb"), -record_size()).otherwise(record_size())
+
+
 def live(log: DataFrame) -> DataFrame:
     """Newest records that are no tombstones."""
     return latest(log).where(~F.col("tomb"))
 
 
 def index_view(log: DataFrame) -> DataFrame:
-    """(key, seq, tomb, size) of newest records, tombstones included; values are not carried through the shuffle."""
-    return latest(log.select("key", "seq", "tomb", record_size().alias("size")))
+    """(key, seq, tomb, size) of newest records, tombstones included; values are not carried through the shuffle.
+
+    A tombstone's size is negated for the aggregate, whose buffers are then plain numbers that hash in place.
+    """
+    won = log.groupBy("key").agg(F.max("seq").alias("seq"), F.max_by(signed_size(), "seq").alias("s"))
+    return won.select("key", "seq", (F.col("s") < 0).alias("tomb"), F.abs("s").alias("size"))
 
 
 def _finished(log: DataFrame) -> DataFrame:
