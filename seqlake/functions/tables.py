@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset."""
     sc = spark.sparkContext
@@ -22,9 +25,23 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that :func:`materialize` has written in this process; returns how many.
+
+    For a long-lived session, once the results that read them are written.
+    """
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    done = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        done += path.getFileSystem(conf).delete(path, True)
+    return done
+
+
 def with_position(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     """``df`` with the 1-based place of each row in the order of ``order``, without gathering the rows in one task.
 

@@ -134,3 +134,10 @@ def test_election(spark):
     votes = spark.createDataFrame([("n3", 7), ("n1", 9), ("n2", 9)], "id string, seq long")
     assert tuple(op.elect(votes, 5).first()) == ("n1", 9)
     assert op.elect(votes, 6).isEmpty()
+
+
+def test_tables_in_the_shared_folder_are_released(spark):
+    from seqlake.functions.tables import materialize, release
+
+    df = materialize(spark.range(10))
+    assert df.count() == 10 and release(spark) >= 1 and release(spark) == 0
