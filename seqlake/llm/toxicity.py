@@ -19,12 +19,12 @@ from .common import ascii_lower, crc_mod, fresh, materialize, quoted
 
 #: Features: words and their beginnings of these lengths; as many of them as tell labels apart best.
 BEGINNINGS, FEATURES = (4, 5), 300
-#: A feature is looked at if it is in at least so many labelled documents.
+#: A feature is looked at if it is in at least so many of the documents that are fitted on.
 LEAST_DOCS = 5
 #: The logarithm of how many times likelier a feature is in toxic documents, at least.
 LEAST_GAIN = 1.5
-#: Labelled documents that the weights are fitted on, at most, of each label (feature counts take all of them).
-TRAIN_DOCS = 8_000
+#: Toxic documents that the model is fitted on, at most, and half the calm ones: some 100 MB of text at the most common lengths.
+TRAIN_DOCS = 10_000
 ROUNDS, RATE, PENALTY = 300, 0.5, 1e-4
 
 _WORD = re.compile(r"[^\W_]+")
@@ -81,12 +81,15 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit the model on the labelled rows of ``docs``.
 
-    Features are counted by label over all labelled documents; the weights are fitted on at most ``TRAIN_DOCS`` of each
-    label, those with the smallest hash of their text.  Null labels and rows without a label are left out; without
+    At most ``TRAIN_DOCS`` toxic and twice as many calm documents take part, those with the smallest hash of their key;
+    how the labels weigh is counted over all of them.  Equal texts with equal labels count once.  Null labels and rows without a label are left out; without
     labels of both kinds no feature has a weight and all scores are 0.
     """
-    known = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("y")).where(f"{key} is not null")
-    own = materialize(docs.select(key, ascii_lower(F.col(text)).alias("t")).join(known, key).select("t", F.least(F.greatest("y", F.lit(0)), F.lit(1)).cast("int").alias("y")).distinct())
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.least(F.greatest(F.max(label), F.lit(0)), F.lit(1)).cast("int").alias("y"))
+    total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    order = [F.xxhash64(key), F.col(key)]
+    chosen = known.where("y = 1").orderBy(*order).limit(TRAIN_DOCS).unionByName(known.where("y = 0").orderBy(*order).limit(2 * TRAIN_DOCS))
+    own = materialize(docs.select(key, ascii_lower(F.col(text)).alias("t")).join(F.broadcast(chosen), key).select("t", "y").distinct())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -99,18 +102,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 seen = {}
         yield _counts(seen)
 
-    total = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if total.get(0, 0) == 0 or total.get(1, 0) == 0:
+    have = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not have.get(0) or not have.get(1):
         return Model({}, 0.0)
-    n0, n1 = total[0], total[1]
+    n0, n1 = have[0], have[1]
     counted = own.mapInArrow(count, "feature string, calm long, toxic long").groupBy("feature").agg(F.sum("calm").alias("calm"), F.sum("toxic").alias("toxic"))
     # Features by how far they tell the labels apart: the signed root of the likelihood ratio of their shares.
     p1, p0 = (F.col("toxic") + 0.5) / (n1 + 1), (F.col("calm") + 0.5) / (n0 + 1)
     best = counted.where(F.col("calm") + F.col("toxic") >= min(LEAST_DOCS, n1)).withColumn("gain", F.col("toxic") * F.log(p1 / p0)).where(F.log(p1 / p0) > LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()
     names = {r["feature"]: i for i, r in enumerate(best)}
-    ranked = own.withColumn("h", F.xxhash64("t"))
-    sample = ranked.where("y = 1").orderBy("h").limit(TRAIN_DOCS).unionByName(ranked.where("y = 0").orderBy("h").limit(TRAIN_DOCS))
-
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(dict.fromkeys(names, 0.0), 0.0)
         for b in batches:
@@ -124,9 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 bags.append(bag)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(bags, pa.list_(pa.int32()))], names=["y", "bag"])
 
-    rows = sample.select("t", "y").mapInArrow(sparse, "y int, bag array<int>").collect()  # bounded by TRAIN_DOCS and FEATURES
+    rows = own.select("t", "y").mapInArrow(sparse, "y int, bag array<int>").collect()  # bounded by TRAIN_DOCS and FEATURES
     y = np.array([r["y"] for r in rows], float)
-    weights, bias = _fit(y, [r["bag"] for r in rows], len(names), n1 / (n0 + n1))
+    weights, bias = _fit(y, [r["bag"] for r in rows], len(names), total[1] / (total[0] + total[1]))
     return Model({f: float(weights[i]) for f, i in names.items() if abs(weights[i]) > 1e-3}, bias)
 
 
@@ -193,13 +193,13 @@ FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, score, predicted, n_spans) per row of ``docs``, with a model of the rows that aren't held out."""
-    model = train(docs.where(crc_mod(F.col(key), FOLDS) != HELD_OUT), labels, key, text)
+    model = train(docs.where(crc_mod(F.col(key), FOLDS) != HELD_OUT), labels.where(crc_mod(F.col(key), FOLDS) != HELD_OUT), key, text)
     scored = score(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), model, spans="spans")
     return scored.select(F.col("key").alias(key), (crc_mod(F.col("key"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
 def calm(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score under ``CUT``, by the same model; all columns."""
-    model = train(docs.where(crc_mod(F.col(key), FOLDS) != HELD_OUT), labels, key, text)
+    model = train(docs.where(crc_mod(F.col(key), FOLDS) != HELD_OUT), labels.where(crc_mod(F.col(key), FOLDS) != HELD_OUT), key, text)
     name = fresh(docs, "score")
     return score(docs, model, text, name).where(F.col(name) < CUT).select(*quoted(docs))
