@@ -22,7 +22,9 @@ from .common import components, local_roots, materialize
 FIT_ROWS = 5_000
 #: Rows of a bin compared in one task, as the ones and as the others.
 HOME_ROWS, QUERY_ROWS = 8_192, 32_768
-_SLACK = 1e-9
+_SLACK, _SINGLE = 1e-9, 1e-5
+#: Pairs compared, and candidates held, at a time.
+_TILE = 1 << 19
 
 
 class Blocks:
@@ -30,6 +32,7 @@ class Blocks:
 
     def __init__(self, sample: np.ndarray, distance: float, blocks: int):
         d = sample.shape[1]
+        sample = _scaled(sample)
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         values, vectors = np.linalg.eigh(np.cov(unit.T).reshape(d, d) + 1e-12 * np.eye(d))
         order = np.argsort(-values)
@@ -54,28 +57,39 @@ class Blocks:
         return out
 
 
-def _vectors(data: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(data), np.float64).reshape(-1, dim)
+def _vectors(data: list[bytes], dim: int, kind: str) -> np.ndarray:
+    return _scaled(np.frombuffer(b"".join(data), kind).reshape(-1, dim).astype(np.float64))
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector by a power of two, so that squares of large and small components neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x
 
 
 def _compare(home, query, plan: Blocks, block: int, threshold: float, counts: dict, links: list) -> None:
     """Count linked weights and collect spanning links; ``home`` and ``query`` are (node, bin, weight, vectors)."""
     (hn, hb, hw, hx), (qn, qb, qw, qx) = home, query
     hu, qu = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (hx, qx))
-    axes, limit = plan.axes[block], plan.budget[block] + _SLACK
-    ht = plan.turned(hu)[:, axes]
-    hs = (ht**2).sum(axis=1)
-    step = max(1, (1 << 22) // max(1, len(hn)))
-    gain_h = np.zeros(len(hn), np.int64)
+    # Squared distance in the block less the budget, as one product of single precision, whose error the slack covers.
+    axes, limit = plan.axes[block], plan.budget[block] + _SINGLE
+    ht, qt = plan.turned(hu)[:, axes], plan.turned(qu)[:, axes]
+    hs, qs = ((x**2).sum(axis=1, keepdims=True) for x in (ht, qt))
+    left = np.concatenate([qt, qs - limit, np.ones_like(qs)], axis=1).astype(np.float32)
+    right = np.ascontiguousarray(np.concatenate([-2 * ht, np.ones_like(hs), hs], axis=1).astype(np.float32).T)
+    step = max(1, _TILE // max(1, len(hn)))
+    gain_h, gain_q = np.zeros(len(hn), np.int64), np.zeros(len(qn), np.int64)
+    near: list = []
+    held = 0
     for at in range(0, len(qn), step):
-        part = slice(at, at + step)
-        qt = plan.turned(qu[part])[:, axes]
-        near = hs[None, :] + ((qt**2).sum(axis=1) - limit)[:, None] - 2 * (qt @ ht.T) <= 0
-        q, h = np.nonzero(near)
-        q += at
+        hit = np.flatnonzero(left[at : at + step] @ right <= 0)
+        near.append(hit + at * len(hn))
+        held += len(hit)
+        if held < _TILE and at + step < len(qn):
+            continue
+        q, h = np.divmod(np.concatenate(near), len(hn))
+        near, held = [], 0
         once = (hb[h] != qb[q]) | (hn[h] < qn[q])
         q, h = q[once], h[once]
-        gain_q = np.zeros(len(qn), np.int64)
         found: list = []
         for k in range(0, len(q), 1 << 18):
             a, b = q[k : k + (1 << 18)], h[k : k + (1 << 18)]
@@ -91,13 +105,13 @@ def _compare(home, query, plan: Blocks, block: int, threshold: float, counts: di
             pairs = np.concatenate(found, axis=1)
             nodes, roots = local_roots(pairs[0], pairs[1])
             links.append(np.stack([nodes[nodes != roots], roots[nodes != roots]]))
-        for i in np.flatnonzero(gain_q):
-            counts[int(qn[i])] = counts.get(int(qn[i]), 0) + int(gain_q[i])
+    for i in np.flatnonzero(gain_q):
+        counts[int(qn[i])] = counts.get(int(qn[i]), 0) + int(gain_q[i])
     for i in np.flatnonzero(gain_h):
         counts[int(hn[i])] = counts.get(int(hn[i]), 0) + int(gain_h[i])
 
 
-def link(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = 0.95, blocks: int = 8) -> DataFrame:
+def link(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = 0.95, blocks: int = 4) -> DataFrame:
     """(key, n_links, component_id, kept) per row of ``vectors``.
 
     n_links counts the other rows with a cosine of at least ``threshold`` (0 < threshold <= 1); component_id is the
@@ -106,14 +120,16 @@ def link(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", thr
     are compared once and counted as often as they occur.  A null key gets a row; its component_id is null only if all
     keys of its component are.  An empty table gives no rows.  Other columns are not read.
     """
-    own = vectors.select(F.col(key).alias("key"), F.col(column).cast("array<double>").alias("v"))
+    single = vectors.schema[column].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
+    own = vectors.select(F.col(key).alias("key"), F.col(column).cast("array<float>" if single else "array<double>").alias("v"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     good = F.coalesce((F.size("v") > 0) & F.forall("v", finite) & F.exists("v", lambda x: x != 0.0), F.lit(False))
     unique = materialize(own.where(good).groupBy("v").agg(F.min("key").alias("first"), F.count("*").alias("weight")).withColumn("node", F.monotonically_increasing_id()))
     plans: dict[int, Blocks] = {}
     for r in unique.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect():  # vector lengths
         sample = unique.where(F.size("v") == r["dim"]).orderBy(F.xxhash64("v")).limit(FIT_ROWS).select("v").collect()
-        plans[r["dim"]] = Blocks(np.array([list(x[0]) for x in sample]).reshape(len(sample), r["dim"]) if len(sample) > 1 else np.array([list(sample[0][0])] * 2), 2 - 2 * threshold, blocks)
+        plans[r["dim"]] = Blocks(np.array([list(x[0]) for x in sample], float).reshape(len(sample), r["dim"]) if len(sample) > 1 else np.array([list(sample[0][0])] * 2, float), 2 - 2 * threshold, blocks)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,12 +142,13 @@ def link(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", thr
                 rows = np.flatnonzero(size == d)
                 x = flat[lists.offsets.to_numpy()[rows][:, None] + np.arange(d)[None, :]].astype(np.float64)
                 plan = plans[int(d)]
-                turned = plan.turned(x / np.linalg.norm(x, axis=1, keepdims=True))
+                scaled = _scaled(x)
+                turned = plan.turned(scaled / np.linalg.norm(scaled, axis=1, keepdims=True))
                 for k, axes in enumerate(plan.axes):
                     bins = np.floor(turned[:, axes[0]] / (np.sqrt(plan.budget[k]) * (1 + 1e-6) + 1e-9)).astype(np.int64)
                     for value in np.unique(bins):
                         i = np.flatnonzero(bins == value)
-                        row = (int(d), k, int(value), len(i), node[rows[i]].astype(np.int64).tobytes(), weight[rows[i]].astype(np.int64).tobytes(), x[i].tobytes())
+                        row = (int(d), k, int(value), len(i), node[rows[i]].astype(np.int64).tobytes(), weight[rows[i]].astype(np.int64).tobytes(), x[i].astype(kind).tobytes())
                         for c, v in zip(out.values(), row, strict=True):
                             c.append(v)
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -160,7 +177,7 @@ def link(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", thr
             rows = t.filter(pa.array(np.asarray(t.column("home").to_numpy(zero_copy_only=False), bool) == flag))
             nodes = [np.frombuffer(x, np.int64) for x in rows.column("nodes").to_pylist()]
             bins = np.repeat(np.array(rows.column("own").to_pylist(), np.int64), [len(x) for x in nodes])
-            side.append((np.concatenate([*nodes, np.zeros(0, np.int64)]), bins, np.frombuffer(b"".join(rows.column("weights").to_pylist()), np.int64), _vectors(rows.column("vectors").to_pylist(), dim)))
+            side.append((np.concatenate([*nodes, np.zeros(0, np.int64)]), bins, np.frombuffer(b"".join(rows.column("weights").to_pylist()), np.int64), _vectors(rows.column("vectors").to_pylist(), dim, kind)))
         if len(side[0][0]) and len(side[1][0]):
             _compare(*side, plans[dim], block, threshold, counts, links)
         a = np.concatenate([x[0] for x in links] or [np.zeros(0, np.int64)])

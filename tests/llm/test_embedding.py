@@ -43,3 +43,9 @@ def test_clusters_and_chains(spark, monkeypatch):
     rows += [(1000 + i, [float(np.cos(i / 5)), float(np.sin(i / 5))] + [0.0] * 14) for i in range(31)]  # a chain around a circle
     check(spark, rows)
     check(spark, rows, threshold=0.9, blocks=3)
+
+
+def test_components_of_any_size(spark):
+    rows = [(1, [1e200, 1e198]), (2, [1e-200, 0.0]), (3, [3.0, 0.01]), (4, [5e-324, 0.0]), (5, [0.0, 1e300])]
+    out = embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, out)) == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 0, 5, True)]
