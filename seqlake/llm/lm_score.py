@@ -28,7 +28,7 @@ from .common import crc_mod, materialize
 from .elias_fano import VALUE, Trie, decode, encode
 
 #: Bytes of text in a block.  Messages number blocks times shards, so blocks should grow with very large inputs.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Weight of the one-word distribution in a context's counts.
 PRIOR = 20.0
 #: Documents with this remainder of crc32 modulo ``FOLDS`` are held out of training.
