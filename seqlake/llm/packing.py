@@ -11,7 +11,9 @@ documents take their places by their rank among those of their length, which is
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from .common import materialize
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
 #: Cached token runs in each Python worker; beyond it the older half goes.
-CACHE = 300_000
+CACHE = 450_000
 
 
 class Encoder:
@@ -45,7 +47,11 @@ class Encoder:
         self.old: dict[str, bytes | None] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for a in ids:
+                a.byteswap()
+        return [a.tobytes() for a in ids]
 
     def _runs(self, runs: list[str]) -> list[bytes | None]:
         if len(self.young) > CACHE:
@@ -67,8 +73,8 @@ class Encoder:
         """Ids of each text; null is empty."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         out: list[np.ndarray] = []
-        for at in range(0, len(texts), 512):
-            part = texts.slice(at, 512)
+        for at in range(0, len(texts), 1024):
+            part = texts.slice(at, 1024)
             lists = pc.split_pattern(part, " ")
             count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             stop = np.cumsum(count)
