@@ -1,15 +1,18 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
-Bulk-synchronous best fit.  Lengths are integers up to the capacity, so documents and gaps, sorted by size, are runs:
-one class for each length, with a count.  That state has at most ``capacity`` entries however many documents there are.
-A superstep sweeps both sorted lists at once: every document class proposes to its successor, the smallest gap class
-that holds it; where several propose to one gap class, those of higher rank (longer documents) are served first; gaps
-shrink; and the next superstep starts.  What comes out is a list of intervals (length, ranks, sequences, offset); the
-documents take their places by their rank among those of their length, which is counted in parallel.
+Bulk-synchronous best fit.  Lengths are integers up to the capacity, so documents and gaps, sorted by size, are runs: a
+document run is a length, its first rank and how many; a gap run is a room, its first sequence and how many.  The runs
+are a table in the shared folder.  A superstep deals the runs of a band of lengths, and the gaps that may hold them, by
+ranges of size.  Each range is swept from large to small: a document run takes the successor of its length, the smallest
+gap not taken yet that holds it, and longer documents come first where several want one gap.  What a range leaves over
+is swept once more across the boundaries, which gives what one sweep of all would have given.  Then the gaps shrink, and
+the next superstep starts; new sequences are opened only for documents that no gap holds.  The placed runs say where
+each document goes by its rank among those of its length, which is counted in parallel.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import zlib
@@ -18,92 +21,100 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
-#: Cached token runs in each Python worker; beyond it the older half goes.
-CACHE = 450_000
+#: Ranges of size that a superstep's runs are dealt into.
+RANGES = 4
+#: Texts in Python at a time.
+SLICE = 256
+#: How byte-level vocabularies write the bytes that are no printable letter, from 256 on in order of the bytes.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The pattern by which byte-level tokenizers split a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Bytes of each token and its id, if ``spec`` is a byte-level BPE whose ids are in order of its merges; else None."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    byte_level = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    if model.get("type") != "BPE" or not plain or not byte_level or spec.get("normalizer") or spec.get("truncation"):
+        return None
+    others = [b for b in range(256) if b not in _PLAIN]
+    letters = {chr(b): b for b in _PLAIN} | {chr(256 + i): b for i, b in enumerate(others)}
+    vocab, last = model["vocab"], -1
+    if any(c not in vocab for c in letters):
+        return None
+    ranks = {bytes([b]): vocab[c] for c, b in letters.items()}
+    last = max(ranks.values())
+    for m in model["merges"]:
+        token = "".join(m) if isinstance(m, list) else m.replace(" ", "", 1)
+        if vocab.get(token, -1) <= last:
+            return None
+        last = vocab[token]
+        ranks[bytes(letters[c] for c in token)] = last
+    return ranks
 
 
 class Encoder:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes; runs between spaces are encoded once and kept.
+    """Token ids of texts by a tokenizer file.
 
-    A text is cut before each space whose neighbours are not white space: the tokenizer's own first split is there too.
-    Other texts go to the tokenizer whole.
+    Byte-level BPE files are run by tiktoken from the file's own merges; texts that hold one of its added tokens, and
+    all texts of other kinds of files, go to the file's own tokenizer.  Both give the same ids.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        ids = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for a in ids:
-                a.byteswap()
-        return [a.tobytes() for a in ids]
-
-    def _runs(self, runs: list[str]) -> list[bytes | None]:
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        miss = []
-        for r in runs:
-            if r not in young:
-                if r in old:
-                    young[r] = old[r]
-                else:
-                    miss.append(r)
-        plain = [r for r in miss if len(r) > 1 and not (r[1].isspace() or r[-1].isspace())]
-        young.update(dict.fromkeys(miss))  # None: white space beside the cut
-        young.update(zip(plain, self._encode(plain), strict=True))
-        return [young[r] for r in runs]
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        self.path, self.tokenizer, self.quick = path, None, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        if ranks := byte_ranks(spec):
+            import tiktoken
+
+            self.quick = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _whole(self, text: str) -> list[int]:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def ids(self, text: str) -> list[int]:
+        if self.quick is None or any(t in text for t in self.added):
+            return self._whole(text)
+        return self.quick.encode_ordinary(text)
+
+    def encode(self, texts: pa.Array) -> Iterator[array]:
         """Ids of each text; null is empty."""
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        out: list[np.ndarray] = []
-        for at in range(0, len(texts), 1024):
-            part = texts.slice(at, 1024)
-            lists = pc.split_pattern(part, " ")
-            count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            stop = np.cumsum(count)
-            codes = lists.flatten().dictionary_encode()
-            code = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            got = self._runs([f" {x}" for x in codes.dictionary.to_pylist()])
-            firsts = [x.as_py() for x in lists.flatten().take(pa.array(stop - count))]
-            odd = np.array([x is None for x in got], bool)
-            first_ids = self._encode(firsts)
-            code[stop - count] = len(got) + np.arange(len(part))
-            odd = np.concatenate([odd, [bool(x) and x[-1].isspace() for x in firsts]])
-            runs = [x or b"" for x in got] + first_ids
-            size = np.array([len(x) // 4 for x in runs], np.int64)
-            begin, flat = np.concatenate([[0], np.cumsum(size)[:-1]]), np.frombuffer(b"".join(runs), "<u4")
-            n = size[code]
-            ends = np.cumsum(n)
-            take = np.repeat(begin[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-            ids = flat[take]
-            doc_end = ends[stop - 1]
-            whole = np.logical_or.reduceat(odd[code], stop - count)
-            slow = dict(zip(np.flatnonzero(whole), self._encode([part[int(i)].as_py() for i in np.flatnonzero(whole)]), strict=True))
-            out += [np.frombuffer(slow[i], "<u4") if i in slow else ids[a:b] for i, (a, b) in enumerate(zip(np.concatenate([[0], doc_end[:-1]]), doc_end, strict=True))]
-        return out
-
-
-def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document's ids: all of ``capacity`` but the first."""
-    first = len(ids) % capacity or min(capacity, len(ids))
-    return [(0, first)] + [(s, capacity) for s in range(first, len(ids), capacity)]
+        for at in range(0, len(texts), SLICE):
+            for t in texts.slice(at, SLICE).to_pylist():
+                yield array("I", self.ids(t) if t else [])
+
+
+def cut(n: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of the pieces of documents of ``n`` ids: all of ``capacity`` but the first."""
+    count = np.maximum(1, -(-n // capacity))
+    doc = np.repeat(np.arange(len(n)), count)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    first = (n - (count - 1) * capacity)[doc]
+    return doc, piece, np.where(piece == 0, 0, first + (piece - 1) * capacity), np.where(piece == 0, first, capacity)
+
+
+def _ranks(length: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The number of each entry among those of its length, going on from ``seen``, which is moved on."""
+    order = np.argsort(length, kind="stable")
+    n = np.bincount(length, minlength=len(seen))
+    nth = np.empty(len(length), np.int64)
+    nth[order] = np.arange(len(length)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(seen, n)
+    seen += n
+    return nth
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -117,103 +128,152 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = Encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
-            rows, cols = [], [[] for _ in range(6)]
-            for i, ids in enumerate(encoder.encode(b.column(1))):
-                ids = np.append(ids, np.uint32(end_id))
-                for k, (s, n) in enumerate(cut(ids, capacity)):
-                    rows.append(i)
-                    x = np.ascontiguousarray(ids[s : s + n], "<u4")
-                    for c, v in zip(cols, (k, s, n, zlib.crc32(x.tobytes()), x.astype(np.int64) if keep_ids else None, seen[n]), strict=True):
-                        c.append(v)
-                    seen[n] += 1
-            t = [b.column(0).take(pa.array(rows, pa.int32())), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:4])]
-            t += [pa.array(cols[4], pa.list_(pa.int64()))] * keep_ids + [pa.array([part] * len(rows), pa.int32()), pa.array(cols[5], pa.int64())]
+            if not b.num_rows:
+                continue
+            sizes, sums, kept = [], [], []
+            for ids in encoder.encode(b.column(1)):
+                ids.append(end_id)
+                n = len(ids)
+                sizes.append(n)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                view, at = memoryview(ids).cast("B"), 0
+                while at < n:
+                    stop = at + (n - at - 1) % capacity + 1
+                    sums.append(zlib.crc32(view[4 * at : 4 * stop]))
+                    if keep_ids:
+                        kept.append(np.frombuffer(view[4 * at : 4 * stop], "<u4").astype(np.int64))
+                    at = stop
+            doc, piece, start, length = cut(np.array(sizes, np.int64), capacity)
+            t = [b.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64())]
+            t += [pa.array(kept, pa.list_(pa.int64()))] * keep_ids + [pa.array(np.full(len(doc), part, np.int32)), pa.array(_ranks(length, seen))]
             yield pa.RecordBatch.from_arrays(t, names=["key", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "part", "nth"])
 
     return source.mapInArrow(run, schema)
 
 
-def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Rows (length, first rank, documents, first sequence, offset), sorted by length and rank, from counts by length."""
-    left, rank = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
-    for n, c in counts.items():
-        left[n] = c
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by size: runs (first sequence, how many)
-    room, out, sequences, band = np.zeros(capacity + 1, np.int64), [], 0, capacity
+#: Rows of the table of runs: documents to place, gaps, placed documents, and the note that a superstep leaves.
+DOCUMENT, GAP, PLACED, NOTE = range(4)
+#: size: a length or a room; first: a sequence; n: documents or sequences; rank: a document's; each: documents in a sequence.
+RUN = "kind int, size long, first long, n long, rank long, each long, offset long, done boolean"
+_RUN = ("kind", "size", "first", "n", "rank", "each", "offset", "done")
 
-    def open_(n: int) -> None:
-        nonlocal sequences
-        if n:
-            gaps[capacity].append((sequences, n))
-            room[capacity] += n
-            sequences += n
-
-    def place(length: int, gap: int, n: int) -> None:
-        left[length] -= n
-        room[gap] -= n
-        room[gap - length] += n
-        while n:
-            first, have = gaps[gap].pop()
-            took = min(n, have)
-            if took < have:
-                gaps[gap].append((first + took, have - took))
-            out.append((length, rank[length], took, first, capacity - gap))
-            gaps[gap - length].append((first, took))
-            rank[length] += took
-            n -= took
 
-    while band:
-        active = np.flatnonzero(left[: band + 1])
-        active = active[active > band // 2][::-1]
-        if not len(active):
-            band //= 2
+def sweep(rows: list[dict], capacity: int) -> list[tuple]:
+    """One sweep from large to small: each document run takes the smallest gaps that hold it, and fills them with its like.
+
+    Rows that are ``done`` have been placed, or were made by placing, in this superstep, and pass.
+    """
+    out = [tuple(r[c] for c in _RUN) for r in rows if r["done"]]
+    stack: list[list[int]] = []
+    for r in sorted((r for r in rows if not r["done"]), key=lambda r: (-r["size"], r["kind"] == DOCUMENT, r["rank"], r["first"])):
+        if r["kind"] == GAP:
+            stack.append([r["size"], r["first"], r["n"]])
             continue
-        # The sweep: for each size the smallest gap that holds it.
-        sizes = np.flatnonzero(room)
-        where = np.searchsorted(sizes, active)
-        lone = active[where == len(sizes)]
-        if len(lone):
-            if band == capacity:
-                for n in lone:  # two of these never share a sequence
-                    opened = int(left[n])
-                    open_(opened)
-                    place(int(n), capacity, opened)
+        length, rank, n = r["size"], r["rank"], r["n"]
+        while n and stack:
+            room, first, have = stack[-1]
+            each = min(room // length, n)
+            took = min(n // each, have)
+            out.append((PLACED, length, first, took, rank, each, capacity - room, True))
+            if room > each * length:
+                out.append((GAP, room - each * length, first, took, 0, 0, 0, True))
+            rank, n = rank + took * each, n - took * each
+            if took == have:
+                stack.pop()
             else:
-                open_(-(-int(left[lone[0]]) // (capacity // int(lone[0]))))
+                stack[-1] = [room, first + took, have - took]
+        if n:
+            out.append((DOCUMENT, length, 0, n, rank, 0, 0, False))
+    return out + [(GAP, room, first, n, 0, 0, 0, False) for room, first, n in stack]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), *[pa.int64()] * 6, pa.bool_())
+    return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(_RUN, kinds, strict=True))})
+
+
+def superstep(runs: DataFrame, low: int, band: int, capacity: int) -> DataFrame:
+    """Place what the gaps hold of the documents longer than ``low`` and not longer than ``band``; the new table of runs.
+
+    Its NOTE says how many documents of the band are left (n) and how many tokens are in those that no gap holds (size).
+    """
+    active = (F.col("size") > low) & (((F.col("kind") == DOCUMENT) & (F.col("size") <= band)) | (F.col("kind") == GAP))
+    width = -(-(capacity - low) // RANGES)
+
+    def within(t: pa.Table) -> pa.Table:
+        return _table(sweep(t.to_pylist(), capacity))
+
+    def across(t: pa.Table) -> pa.Table:
+        rows = sweep(t.to_pylist(), capacity)
+        left = [r for r in rows if r[0] == DOCUMENT]
+        widest = max((r[1] for r in rows if r[0] == GAP), default=0)
+        note = (NOTE, sum(r[1] * r[3] for r in left if r[1] > widest), 0, sum(r[3] for r in left), 0, 0, 0, False)
+        return _table([(*r[:-1], False) for r in [*rows, note]])
+
+    swept = runs.where(active).groupBy(F.floor((F.col("size") - low - 1) / width).alias("range")).applyInArrow(within, RUN).groupBy(F.lit("all").alias("range")).applyInArrow(across, RUN)
+    return runs.where(~active & (F.col("kind") != NOTE)).unionByName(swept).coalesce(1)
+
+
+def place(lengths: DataFrame, capacity: int) -> DataFrame:
+    """(length, rank, n, first, each, offset): runs of placed documents, from (length, n).
+
+    The n * each documents from ``rank`` on, of those of the length, lie in n sequences from ``first`` on.  All lengths
+    are from 1 to ``capacity``, so there are at most that many document runs; each placed run uses up a document run or
+    a gap run of its superstep, and the number of supersteps grows with the logarithm of the capacity, not with the documents.
+    """
+    spark = lengths.sparkSession
+    empty = [F.lit(0).cast("long").alias(c) for c in ("first", "rank", "each", "offset")]
+    runs = materialize(lengths.select(F.lit(DOCUMENT).alias("kind"), F.col("length").cast("long").alias("size"), "n", *empty, F.lit(False).alias("done")).select(*_RUN).coalesce(1))
+    left = {r["size"]: r["n"] for r in runs.select("size", "n").collect()}  # at most ``capacity``
+    band, sequences, opened = capacity, 0, 0
+    while band:
+        low = band // 2
+        if not any(low < n <= band for n in left):
+            band = low
             continue
-        wish = sizes[where]
-        for gap in np.unique(wish):
-            free = int(room[gap])
-            for length in active[wish == gap]:  # longest first
-                if n := min(free, int(left[length])):
-                    place(int(length), int(gap), n)
-                    free -= n
-    rows = np.array(out, np.int64).reshape(-1, 5)
-    return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        if band == capacity:  # two of these never share a sequence
+            opened = sum(c for n, c in left.items() if n > low)
+        while True:
+            new = runs
+            if opened:
+                new = runs.unionByName(spark.createDataFrame([(GAP, capacity, sequences, opened, 0, 0, 0, False)], RUN))
+                sequences += opened
+            new = materialize(superstep(new, low, band, capacity))
+            drop_table(runs)
+            runs, note = new, new.where(F.col("kind") == NOTE).first()
+            if not note["n"]:
+                break
+            opened = -(-note["size"] // capacity)
+        band, opened = low, 0
+    return runs.where(F.col("kind") == PLACED).select(F.col("size").alias("length"), "rank", "n", "first", "each", "offset")
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Every piece of every document with its place: (key, piece, start, length, ids_crc32[, ids], sequence_id, offset).
 
-    ``tokenizer`` is the path of a tokenizer file that every executor has.  A null or empty text is its end id alone.
-    Rows with the same key are packed each on its own; a null key stays null.  No documents give no rows.  Other
-    columns are not read.  The driver holds counts by length (at most ``capacity``) and the plan made of them.
+    ``tokenizer`` is the path of a tokenizer file that every executor has; ids are those of its ``encode`` without special
+    tokens added, so the string of an added token in a text is that token.  A null or empty text is its end id alone; a
+    very long one is cut into pieces.  Rows with the same key are packed each on its own; a null key stays null.  No
+    documents give no rows.  Other columns are not read.  Tasks get the runs of placed documents, a few thousand rows for
+    2048 lengths whatever the number of documents (see :func:`place`).
     """
     made = materialize(pieces(docs, tokenizer, key, text, capacity, end_id, keep_ids))
     by_part = made.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    rows = plan(counts, capacity)
+    placed = place(by_part.groupBy("length").agg(F.sum("n").alias("n")), capacity)
+    rows = np.array([tuple(r) for r in placed.collect()], np.int64).reshape(-1, 6)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     key_of = rows[:, 0] * (1 << 44) + rows[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, rank = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
-            at = np.searchsorted(key_of, length * (1 << 44) + rank, "right") - 1
-            row = rows[at]
+            row = rows[np.searchsorted(key_of, length * (1 << 44) + rank, "right") - 1]
+            nth, place_ = np.divmod(rank - row[:, 1], np.maximum(1, row[:, 4]))
             keep = [n for n in b.schema.names if n != "rank"]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in keep), pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])], names=[*keep, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in keep), pa.array(row[:, 3] + nth), pa.array(row[:, 5] + place_ * length)], names=[*keep, "sequence_id", "offset"])
 
     ranked = made.join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth")).drop("base", "part", "nth")
     columns = ["key", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]

@@ -1,9 +1,12 @@
+import json
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -13,19 +16,45 @@ from seqlake.llm import packing
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def whole(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    """The contract's ids: the tokenizer as it is, nothing added."""
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
 ENCODER = packing.Encoder(PATH)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(" \n\t\x1c  ab.,'s1é日<|endoftext|>"), max_size=30), max_size=8))
-def test_cached_encoding_equals_the_tokenizer(texts):
-    assert [x.tolist() for x in ENCODER.encode(pa.array(texts, pa.string()))] == [whole(t) for t in texts]
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*" \n\t\x1c\x85  ab.,'s1é日\u0301\u200d😀", "'ll", "<|endoftext|>", "<|end", "word", "  "]), max_size=30).map("".join), max_size=8))
+def test_encoding_equals_the_tokenizer(texts):
+    assert [x.tolist() for x in ENCODER.encode(pa.array([*texts, None], pa.string()))] == [whole(t) for t in [*texts, None]]
+
+
+def test_every_letter_is_encoded_as_the_tokenizer_does():
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c < 0x30000 or c % 97 == 0)]
+    texts = ["".join(f"a{c}a 1{c}1 .{c}. {c} {c}{c}'{c}x " for c in letters[i : i + 50]) for i in range(0, len(letters), 50)]
+    assert all(x.tolist() == e.ids for x, e in zip(ENCODER.encode(pa.array(texts)), TOKENIZER.encode_batch_fast(texts, add_special_tokens=False), strict=True))
+
+
+def test_every_token_is_reached_by_its_merges_and_special_ones_are_themselves(tmp_path):
+    assert ENCODER.quick is not None
+    vocab = json.loads(TOKENIZER.to_str())["model"]["vocab"]
+    tokens = [TOKENIZER.decode([i]) for i in vocab.values()]
+    assert all(ENCODER.ids(t) == whole(t) for t in tokens)
+    assert whole("hello <|endoftext|> world") == ENCODER.ids("hello <|endoftext|> world") == [31373, 220, 50256, 995]
+    spec = json.loads(TOKENIZER.to_str())
+    spec["pre_tokenizer"] = {"type": "Whitespace"}
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    other, theirs = packing.Encoder(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert other.quick is None and other.ids("two words, it's") == theirs.encode("two words, it's", add_special_tokens=False).ids
+
+
+def test_very_long_words_and_texts():
+    for t in ("a" * 200_000, "xq9" * 50_000, " " * 50_000, "日本" * 40_000, "word " * 100_000):
+        assert ENCODER.ids(t) == whole(t)
 
 
 def best_fit_decreasing(lengths, capacity):
@@ -40,31 +69,51 @@ def best_fit_decreasing(lengths, capacity):
     return len(gaps)
 
 
-def test_plan_is_valid_and_as_tight_as_best_fit_decreasing():
+def sequences(rows, capacity):
+    """How many sequences the placed runs fill; every rank has one place, and places in a sequence follow each other."""
+    used, seen = {}, {}
+    for r in sorted(rows, key=lambda r: (r.length, r.rank)):
+        assert r.rank == seen.get(r.length, 0)
+        seen[r.length] = r.rank + r.n * r.each
+        for k in range(r.n):
+            used.setdefault(r.first + k, []).append((r.offset, r.length * r.each))
+    for places in used.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(used), seen
+
+
+@pytest.mark.parametrize(("capacity", "draw"), [(20, lambda r: r.randint(1, 20)), (100, lambda r: r.choice((3, 34, 51, 66, 97))), (64, lambda r: min(64, int(r.expovariate(1 / 20)) + 1)), (2048, lambda r: r.randint(1, 2048)), (10, lambda r: 4), (1, lambda r: 1)])
+def test_places_are_valid_and_as_tight_as_best_fit_decreasing(spark, capacity, draw):
     rng = random.Random(3)
-    for capacity, draw in ((20, lambda: rng.randint(1, 20)), (100, lambda: rng.choice((3, 34, 51, 66, 97))), (64, lambda: min(64, int(rng.expovariate(1 / 20)) + 1)), (2048, lambda: rng.randint(1, 2048)), (10, lambda: 4)):
-        lengths = [draw() for _ in range(500)]
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        rows = packing.plan(counts, capacity)
-        used, seen = {}, {}
-        for length, rank, n, first, offset in rows.tolist():
-            assert rank == seen.get(length, 0)
-            seen[length] = rank + n
-            for s in range(first, first + n):
-                used.setdefault(s, []).append((offset, length))
-        assert seen == counts
-        for places in used.values():
-            at = 0
-            for offset, length in sorted(places):
-                assert offset == at
-                at += length
-            assert at <= capacity
-        assert len(used) <= best_fit_decreasing(lengths, capacity) * 1.01 + 1
-    assert len(packing.plan({}, 10)) == 0
+    lengths = [draw(rng) for _ in range(500)]
+    counts = Counter(lengths)
+    made = packing.place(spark.createDataFrame(list(counts.items()), "length long, n long"), capacity).collect()
+    n, seen = sequences(made, capacity)
+    assert seen == counts and n <= best_fit_decreasing(lengths, capacity) * 1.01 + 1
+
+
+def test_no_lengths_no_places(spark):
+    assert packing.place(spark.createDataFrame([], "length long, n long"), 10).collect() == []
+
+
+def test_ranges_swept_apart_and_then_across_give_one_sweep():
+    rng = random.Random(7)
+    row = lambda kind, size, at, n: dict(zip(packing._RUN, (kind, size, at if kind == packing.GAP else 0, n, 0 if kind == packing.GAP else at, 0, 0, False), strict=True))
+    for _ in range(200):
+        rows = [row(rng.choice((packing.GAP, packing.DOCUMENT)), rng.randint(33, 64), 1000 * i, rng.randint(1, 9)) for i in range(rng.randint(0, 25))]
+        parts = [packing.sweep([r for r in rows if (r["size"] - 33) // 8 == k], 64) for k in range(4)]
+        both = packing.sweep([dict(zip(packing._RUN, r, strict=True)) for p in parts for r in p], 64)
+        placed = lambda out: Counter(x for r in out if r[0] == packing.PLACED for x in [(r[1], r[6])] * (r[3] * r[5]))
+        assert placed(both) == placed(packing.sweep(rows, 64))
 
 
 def test_pieces():
-    assert packing.cut(np.zeros(5), 8) == [(0, 5)] and packing.cut(np.zeros(16), 8) == [(0, 8), (8, 8)] and packing.cut(np.zeros(19), 8) == [(0, 3), (3, 8), (11, 8)]
+    got = [list(zip(*(x.tolist() for x in packing.cut(np.array([n]), 8)[2:]), strict=True)) for n in (5, 16, 19)]
+    assert got == [[(0, 5)], [(0, 8), (8, 8)], [(0, 3), (3, 8), (11, 8)]]
 
 
 def test_every_token_has_one_place(rough):
