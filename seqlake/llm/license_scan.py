@@ -2,7 +2,8 @@
 
 Hashes of every two neighbouring words of every document meet those of phrases and notices in a join.  A hit votes for
 a diagonal, the document's position less the template's; a phrase stands where all its word pairs vote for one
-diagonal, and a notice where neighbouring diagonals together hold enough of them.
+diagonal.  A notice may have lost or gained words, so neighbouring diagonals are merged; where they hold enough of its
+word pairs, each counted once, the words around are compared with the notice's in order, and as many must be there.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ NOTICES = (
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd-text"),
 )
 GRAM = 2
-#: Diagonals this near vote together; share of a notice's word pairs that must be there.
+#: Diagonals this near vote together; share of a notice's word pairs, and of its words in order, that must be there.
 NEAR, SHARE = 2, 0.8
+#: Word pairs of templates up to this number go to every task (some 300 bytes each); more are joined by shuffle.
+BROADCAST_PAIRS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -38,70 +41,92 @@ def words(text: Column) -> Column:
     return F.split(F.lower(kept), SEPARATORS)
 
 
+_PAIRS = "template int, label string, at int, first string, second string, pairs int, exact boolean, words array<string>"
+
+
 def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """(template, label, at, first, second, pairs, exact): the word pairs of each template, and how many it has."""
+    """(template, label, at, first, second, pairs, exact, words): the word pairs of each template, and how many it has."""
     rows = []
     for t, (text, label, exact) in enumerate([(p, x, True) for p, x in phrases] + [(p, x, False) for p, x in notices]):
         w = text.split()
-        rows += [(t, label, i, w[i], w[i + 1], len(w) - 1, exact) for i in range(len(w) - 1)]
-    return spark.createDataFrame(rows, "template int, label string, at int, first string, second string, pairs int, exact boolean")
+        rows += [(t, label, i, w[i], w[i + 1], len(w) - 1, exact, w) for i in range(len(w) - 1)]
+    return spark.createDataFrame(rows, _PAIRS)
+
+
+def in_order(words: Column, template: Column) -> Column:
+    """How many words of ``template`` stand in ``words`` in the same order (the longest common subsequence)."""
+
+    def step(before: Column, word: Column) -> Column:
+        more = F.transform(template, lambda t, i: F.greatest(F.get(before, i), F.when(i > 0, F.get(before, i - 1)).otherwise(F.lit(0)) + (t == word).cast("int")))
+        return F.transform(more, lambda _, i: F.array_max(F.slice(more, F.lit(1), i + 1)))
+
+    return F.coalesce(F.array_max(F.aggregate(words, F.transform(template, lambda _: F.lit(0)), step)), F.lit(0))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRASES, notices=NOTICES, spans: bool = False) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score[, spans]) per row of ``docs``.
 
     n_base counts the places of phrases, first_word and last_word are the first and the last such place; base_labels and
-    labels (phrases and notices) are distinct, sorted and joined by commas; score is the largest share of a template
-    found.  ``spans`` adds (label, first word, share) of each place.  A text without words, or null, has no places: null
-    first_word and last_word, empty labels, score 0.  Repeated rows and null keys each get a row.  Other columns are not
-    read.  The templates go to every task: the caller states them, and there are as many as that.
+    labels (phrases and notices) are distinct, sorted and joined by commas; score is 1 with a phrase, else the largest
+    share of a notice found in a place of it, else 0: the lesser one of its word pairs and of its words in order.  ``spans`` adds (label, first word, share) of
+    each place.  A text without words, or null, has no places: null first_word and last_word, empty labels, score 0.
+    Texts of any length are read whole.  Repeated rows and null keys each get a row.  Other columns are not read.
     """
     spark = docs.sparkSession
-    grams = templates(spark, phrases, notices)
-    seeds = grams.select(F.xxhash64("first", "second").alias("gram"), "*").unionByName(
-        spark.createDataFrame([(0, -1, None, 0, None, None, 1, False)], "gram long, template int, label string, at int, first string, second string, pairs int, exact boolean")  # each document's own row
-    )
+    grams = templates(spark, phrases, notices).select(F.xxhash64("first", "second").alias("gram"), "*")
+    few = sum(len(p.split()) - 1 for p, _ in (*phrases, *notices)) <= BROADCAST_PAIRS
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words(F.col(text)).alias("w"))
     own = own.select("row", "key", F.when((F.get("w", F.lit(0)) == "") | (F.element_at("w", -1) == ""), F.filter("w", lambda x: x != "")).otherwise(F.col("w")).alias("w"))
     own = own.select("row", "key", F.size("w").cast("long").alias("n_words"), "w", F.explode(F.sequence(F.lit(-1), F.greatest(F.size("w") - GRAM, F.lit(-1)))).alias("p"))
     first, second = F.get("w", F.col("p")), F.get("w", F.col("p") + 1)
     own = own.withColumn("gram", F.when(F.col("p") >= 0, F.xxhash64(first, second)).otherwise(F.lit(0).cast("long")))
+    # Each document's own row, at place -1, goes on whether there are hits or not.
+    nothing = spark.createDataFrame([(0, -1, None, 0, None, None, 1, False, None)], "gram long, " + _PAIRS)
     same = ((F.col("p") < 0) & (F.col("template") < 0)) | ((F.col("p") >= 0) & (F.col("first") == first) & (F.col("second") == second))
-    hits = own.join(F.broadcast(seeds), "gram").where(same)
-    votes = hits.groupBy("row", "key", "n_words", "template", "label", "pairs", "exact", (F.col("p") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"))
-    near = Window.partitionBy("row", "key", "n_words", "template", "label", "pairs", "exact").orderBy("diagonal").rangeBetween(-NEAR, NEAR)
-    merged = votes.withColumn("near", F.sum("votes").over(near))
-    phrase = (F.col("template") >= 0) & F.col("exact") & (F.col("votes") == F.col("pairs"))
-    share = F.least(F.lit(1.0), F.col("near") / F.col("pairs"))
-    notice = (F.col("template") >= 0) & ~F.col("exact") & (share >= SHARE)
+    if few:
+        hits = own.join(F.broadcast(grams.unionByName(nothing)), "gram").where(same)
+    else:
+        hits = own.where("p >= 0").join(grams, "gram").where(same).unionByName(own.where("p < 0").join(F.broadcast(nothing), "gram").select(*own.columns, *nothing.columns[1:]))
+    diagonal = F.col("p") - F.col("at")
+    begin = F.greatest(diagonal - NEAR, F.lit(0))
+    span = F.when((F.col("template") >= 0) & ~F.col("exact"), F.slice("w", begin + 1, diagonal + NEAR + F.size("words") - begin))
+    by = ["row", "key", "n_words", "template", "label", "pairs", "exact", "words"]
+    votes = hits.select(*by, diagonal.alias("diagonal"), "at", span.alias("span")).groupBy(*by, "diagonal").agg(F.collect_set("at").alias("at"), F.first("span").alias("span"))
+    near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(-NEAR, NEAR)
+    merged = votes.withColumn("near", F.size(F.array_distinct(F.flatten(F.collect_list("at").over(near)))))
+    phrase = (F.col("template") >= 0) & F.col("exact") & (F.size("at") == F.col("pairs"))
+    voted = (F.col("template") >= 0) & ~F.col("exact") & (F.col("near") >= SHARE * F.col("pairs"))
+    merged = merged.withColumn("phrase", phrase).withColumn("share", F.when(voted, F.least(F.col("near") / F.col("pairs"), in_order(F.col("span"), F.col("words")) / F.size("words"))))
+    notice = F.coalesce(F.col("share") >= SHARE, F.lit(False))
+    place = F.when(F.col("phrase"), F.col("diagonal").cast("long"))
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     out = [
-        F.count_if(phrase).alias("n_base"), F.min(F.when(phrase, F.col("diagonal").cast("long"))).alias("first_word"), F.max(F.when(phrase, F.col("diagonal").cast("long"))).alias("last_word"),
-        labels(phrase).alias("base_labels"), labels(phrase | notice).alias("labels"), F.coalesce(F.max(F.when(phrase, F.lit(1.0)).when((F.col("template") >= 0) & ~F.col("exact"), share)), F.lit(0.0)).alias("score"),
+        F.count_if("phrase").alias("n_base"), F.min(place).alias("first_word"), F.max(place).alias("last_word"),
+        labels(F.col("phrase")).alias("base_labels"), labels(F.col("phrase") | notice).alias("labels"), F.coalesce(F.max(F.when(F.col("phrase"), F.lit(1.0)).when(notice, F.col("share"))), F.lit(0.0)).alias("score"),
     ]
     if spans:
-        place = F.struct("label", F.col("diagonal").alias("first_word"), F.when(phrase, F.lit(1.0)).otherwise(share).alias("share"))
-        out.append(F.array_sort(F.collect_list(F.when(phrase | notice, place))).alias("spans"))
+        where = F.struct("label", F.col("diagonal").alias("first_word"), F.when(F.col("phrase"), F.lit(1.0)).otherwise(F.col("share")).alias("share"))
+        out.append(F.array_sort(F.collect_list(F.when(F.col("phrase") | notice, where))).alias("spans"))
     return merged.groupBy("row", "key", "n_words").agg(*out).drop("row").withColumnRenamed("key", key)
 
 
 _TEMPLATES = ", ".join(f"({t}, '{x}', {exact}, string_split('{p}', ' '))" for t, (p, x, exact) in enumerate([(p, x, "true") for p, x in PHRASES] + [(p, x, "false") for p, x in NOTICES]))
+#: Words are compared place by place here: phrases at each word, notices at each diagonal that some pair of words votes for.
 ORACLE_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
          list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
   FROM documents),
-p AS (SELECT r, w, unnest(range(len(w) - 1)) AS p FROM d),
-t AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(template, label, exact, tw)),
-g AS (SELECT template, label, exact, len(tw) - 1 AS pairs, tw, unnest(range(len(tw) - 1)) AS a FROM t),
-h AS (SELECT r, template, label, exact, pairs, p - a AS diagonal, count(*) AS votes
-      FROM (SELECT r, p, w[p + 1] AS w1, w[p + 2] AS w2 FROM p) JOIN (SELECT *, tw[a + 1] AS t1, tw[a + 2] AS t2 FROM g) ON w1 = t1 AND w2 = t2 GROUP BY ALL),
-m AS (SELECT *, sum(votes) OVER (PARTITION BY r, template ORDER BY diagonal RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM h),
-f AS (SELECT *, exact AND votes = pairs AS phrase, NOT exact AND near >= {SHARE} * pairs AS notice FROM m),
-s AS (SELECT r, count(*) FILTER (phrase) AS n_base, min(diagonal) FILTER (phrase) AS first_word, max(diagonal) FILTER (phrase) AS last_word,
-             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels,
-             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase OR notice) AS labels,
-             max(CASE WHEN phrase THEN 1.0::DOUBLE WHEN NOT exact THEN least(1.0::DOUBLE, near::DOUBLE / pairs) END) AS score
+t AS (SELECT *, len(tw) AS m FROM (VALUES {_TEMPLATES}) AS t(template, label, exact, tw)),
+p AS (SELECT r, w, template, label, m, tw, exact, unnest(range(-m, len(w))) AS s FROM d, t WHERE list_has_any(w, tw)),
+b AS (SELECT r, label, s FROM p WHERE exact AND s >= 0 AND w[s + 1 : s + m] = tw),
+v AS (SELECT r, w, template, label, m, tw, s, list_filter(range(m - 1), lambda i: s + i >= 0 AND w[s + i + 1] = tw[i + 1] AND w[s + i + 2] = tw[i + 2]) AS hit FROM p WHERE NOT exact),
+n AS (SELECT *, len(list_distinct(flatten(list(hit) OVER (PARTITION BY r, template ORDER BY s RANGE BETWEEN {NEAR} PRECEDING AND {NEAR} FOLLOWING)))) AS near FROM v WHERE len(hit) > 0),
+c AS (SELECT r, label, m, tw, near, list_transform(w[greatest(s - {NEAR}, 0) + 1 : s + {NEAR} + m], lambda x: list_transform(tw, lambda y: (x = y)::INTEGER)) AS same FROM n WHERE near >= {SHARE} * (m - 1)),
+l AS (SELECT r, label, m, near, list_max(list_reduce(same, lambda a, b: list_transform(range(m), lambda j: list_max(list_transform(range(j + 1), lambda i: greatest(a[i + 1], coalesce(a[i], 0) + b[i + 1])))), list_transform(tw, lambda y: 0))) AS lcs FROM c),
+f AS (SELECT r, label, s, 1.0::DOUBLE AS share FROM b UNION ALL SELECT r, label, NULL, least(near::DOUBLE / (m - 1), lcs::DOUBLE / m) FROM l WHERE lcs >= {SHARE} * m),
+s AS (SELECT r, count(s) AS n_base, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (s IS NOT NULL) AS base_labels,
+             string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
       FROM f GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score

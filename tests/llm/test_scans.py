@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+from itertools import accumulate
+
+import pytest
 
 from seqlake.llm import license_scan, secret_scan, url_filter
 
@@ -77,6 +80,50 @@ def test_notices_survive_an_inserted_word(spark):
     assert row[0].labels == "mit-text" and row[0].n_base == 0 and 0.8 <= row[0].score < 1 and row[1].labels == ""
 
 
+def brute_lcs(a, b):
+    n = [0] * (len(b) + 1)
+    for x in a:
+        n = [0, *(max(n[j + 1], m) for j, m in enumerate(accumulate((max(n[j], n[j + 1], n[j] + (x == y)) for j, y in enumerate(b)), max)))]
+    return n[-1]
+
+
+def brute_notices(text):
+    """Labels of notices: enough of the pairs near a diagonal, each once, and enough of the words in order."""
+    w, out = re.findall(r"[a-z0-9]+", text.lower()), set()
+    for t, label in license_scan.NOTICES:
+        t = t.split()
+        votes = {}
+        for i in range(len(w) - 1):
+            for a in range(len(t) - 1):
+                if w[i : i + 2] == t[a : a + 2]:
+                    votes.setdefault(i - a, set()).add(a)
+        for d in votes:
+            near = set().union(*(votes.get(d + k, set()) for k in range(-2, 3)))
+            if len(near) >= 0.8 * (len(t) - 1) and brute_lcs(w[max(0, d - 2) : d + 2 + len(t)], t) >= 0.8 * len(t):
+                out.add(label)
+    return out
+
+
+def test_notices_match_brute_force(spark):
+    rng = random.Random(4)
+    texts = ["cc by nc 4 nc 4 0", "Licensed under CC BY NC 4 nc 4 0", "by cc by by nc nc 4 0 licensed under"]
+    for t, _ in license_scan.NOTICES * 12:
+        w = t.split()
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(w))
+            w[i : i + rng.randint(0, 1)] = rng.choice(([], ["other"], [w[i], w[i]], w[i : i + 3]))
+        texts.append("some words " + " ".join(w) + " and a tail")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) - {"", *(x for _, x in license_scan.PHRASES)} for r in license_scan.scan(df).collect()}
+    assert got == {i: brute_notices(t) for i, t in enumerate(texts)} and not got[0] and sum(map(bool, got.values())) > 20
+
+
+def test_many_templates_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "BROADCAST_PAIRS", 3)
+    df = spark.createDataFrame([(1, "MIT License, Apache License"), (2, None), (3, "none")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_base, r.labels) for r in license_scan.scan(df).collect()) == [(1, 2, "apache,mit"), (2, 0, ""), (3, 0, "")]
+
+
 def brute_url(url, rules):
     host = path = ""
     if url and "://" in url:
@@ -108,3 +155,24 @@ def test_long_lists_are_joined_by_shuffle(spark, monkeypatch):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
     got = {r.page_id: r.rule for r in url_filter.judge(pages, url_filter.rules_frame(spark, rules)).collect()}
     assert got == {i: brute_url(u, rules)[2] for i, u in enumerate(urls)} and sum(v is not None for v in got.values()) == 200
+
+
+@pytest.mark.parametrize("words", [1 << 20, 0])
+def test_filter_as_constant_and_as_table(spark, monkeypatch, words):
+    monkeypatch.setattr(url_filter, "FILTER_WORDS", words)
+    rules = [("net/", "block"), ("net/", "allow"), ("example.net/en/", "allow"), ("org/fr/", "block")]
+    urls = ["http://a.example.net/en/x", "http://a.net/", "http://net", None, "", "x://" + "a." * 30_000 + "net/en" + "/y" * 30_000, "http://b.org/fr/?q", "http://b.org/", "http://b.org/"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, urls[1])], "page_id long, url string")
+    got = sorted((repr(r.page_id), r.rule, r.verdict) for r in url_filter.judge(pages, url_filter.rules_frame(spark, rules)).collect())
+    want = [(repr(r.page_id), *brute_url(r.url, rules)[2:]) for r in pages.collect()]
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want, key=lambda x: x[0])] and {x[2] for x in got if x[1] == "net/"} == {"allow"}
+
+
+def test_filter_is_tested_where_rows_are_read(spark, sf_dir):
+    """No exchange below the filter: what the scan gives is tested at once, and only possible hits are dealt out."""
+    from seqlake.llm.queries import op5_url_filter
+
+    physical = op5_url_filter(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    scans = [b for b in physical.split("FileScan") if "url#" in b]
+    below = [line for line in physical.splitlines() if "hashpartitioning(" in line]
+    assert scans and all("row#" in line for line in below) and "CartesianProduct" not in physical and "SortMergeJoin" not in physical
