@@ -76,4 +76,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": embedding_dedup.ORACLE_SQL, "op5_url_filter": OP5_SQL, "op7_license_scan": license_scan.ORACLE_SQL}
+    return {"op1_embedding_dedup": embedding_dedup.ORACLE_SQL, "op4_benchmark_decontamination": decontam.ORACLE_SQL, "op5_url_filter": OP5_SQL, "op6_secret_scan": secret_scan.ORACLE_SQL, "op7_license_scan": license_scan.ORACLE_SQL}

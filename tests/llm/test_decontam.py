@@ -3,6 +3,8 @@ import math
 import random
 import re
 
+import pytest
+
 from seqlake.llm import decontam
 
 BENCH = "item_id long, text string, words int"
@@ -31,7 +33,9 @@ def test_masks_hit_every_window_with_a_fifth_substituted():
             assert any(all(p + i not in gone for i, c in enumerate(mask) if c == "1") for mask in decontam.MASKS for p in range(m - len(mask) + 1))
 
 
-def test_passages_are_found_whatever_a_fifth_of_their_words(spark):
+@pytest.mark.parametrize("seeds", [500_000, 0])
+def test_passages_are_found_whatever_a_fifth_of_their_words(spark, monkeypatch, seeds):
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", seeds)  # none: the join by shuffle
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(40)]
     items = [(i, " ".join(rng.choices(vocabulary, k=n)), 0) for i, n in enumerate((4, 5, 6, 9, 12, 13, 25, 60))] + [(None, None, 0), (50, "", 0), (99, None, 0)]
@@ -70,3 +74,9 @@ def test_nothing_to_compare(spark, rough):
     assert not any(r.contaminated for r in decontam.contamination(rough, none).collect())
     assert sorted(map(repr, decontam.clean(rough, none).collect())) == sorted(map(repr, rough.collect()))
     assert decontam.contamination(rough.limit(0), none).collect() == []
+
+
+def test_items_may_have_text_ids(spark):
+    docs = spark.createDataFrame([(1, "x alpha beta gamma delta epsilon zeta y"), (2, "no")], "doc_id string, text string")
+    bench = spark.createDataFrame([("b-2", "alpha beta gamma delta epsilon zeta"), ("b-1", "ALPHA beta gamma delta epsilon"), (None, None)], "item_id string, text string")
+    assert [tuple(r) for r in decontam.contamination(docs, bench).orderBy("doc_id").collect()] == [("1", True, 2, "b-1", 1.0), ("2", False, 0, None, 0.0)]

@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 from itertools import accumulate
 
+import duckdb
 import pytest
 
 from seqlake.llm import license_scan, secret_scan, url_filter
@@ -48,6 +50,35 @@ def test_battery_tells_random_from_written(spark):
     assert sum(flagged[i] for i in range(40, len(texts))) == 0
 
 
+def test_battery_matches_sql(spark):
+    """All spans, p-values' threshold included, as DuckDB works them out."""
+    rng = random.Random(9)
+    texts = [*TEXTS, "x" * 19, "=" * 25]
+    for alphabet in ("0123456789ABCDEF", secret_scan.ALPHABETS["base32"], secret_scan.ALPHABETS["base64"]):
+        texts += [f"é {''.join(rng.choices(alphabet, k=rng.randrange(15, 70)))}== {''.join(rng.choices(alphabet[:9], k=30))}" for _ in range(40)]
+    texts += ["-".join(rng.choices(["the", "Tion", "AND", "ing", "42"], k=9)) for _ in range(80)]
+    rows = list(enumerate(texts))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    cursor = con.execute(secret_scan.ORACLE_SQL)
+    want = sorted(cursor.fetchall())
+    df = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert df.columns == [d[0] for d in cursor.description] and sorted(map(tuple, df.collect())) == want
+    assert 60 < sum("random:" in r[-1] for r in want) < 130
+
+
+def test_many_secrets_in_one_text(spark):
+    """Places and redaction of very many spans in one long text; both took time with the square of their number once."""
+    unit = "é secret=abcdef0123 "
+    df = spark.createDataFrame([(1, unit * 50_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = secret_scan.scan(df).first()
+    assert row.n_assign == 50_000 and row.spans.endswith(f"assign:{len(unit) * 49_999 + 2}:{len(unit) * 50_000 - 1}")
+    assert secret_scan.redact(df).first().text == "é [SECRET] " * 50_000
+    assert time.perf_counter() - began < 60
+
+
 def test_redaction(spark, rough):
     df = rough.unionByName(rough.limit(1).selectExpr("cast(77 as long) doc_id", "'a token = abcdefgh; b token = \"0123456789abcdef0123456789abcdef\" c' text", *rough.columns[2:]))
     out = secret_scan.redact(df)
