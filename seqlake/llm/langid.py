@@ -1,9 +1,11 @@
 """Language identification by fusing evidence as Bayes' rule has it.
 
-What a text says (byte triples under each language's distribution), what its markup declares, what its address ends or
-begins with, and what its host's other texts are in: each gives a likelihood or a prior for every language, and their
-product is the posterior.  Priors of hosts are smoothed by those of their domain, those by their top-level domain, and
-those by the whole table; all of them, and how far declarations and addresses can be trusted, are grouped counts.
+What a text says (byte triples under each language's distribution), what its markup declares, what its address has for a
+suffix (the last label of its host, and the first part of its path), and what its host's other texts are in: each gives
+a likelihood or a prior for every language, and their product is the posterior.  Priors of hosts are smoothed by those
+of their domain, and those by the whole table; all of them, and how far declarations and suffixes can be trusted, are
+grouped counts of what the texts alone say.  A row's own text is taken out of every count before the row is judged, so
+that it counts once.
 """
 
 from __future__ import annotations
@@ -16,11 +18,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize
+from .common import crc_mod, let, materialize, quoted
 from .url_filter import host_of, path_of
 
 #: Buckets of byte triples.  The model has that many numbers for each language.
 BUCKETS = 1 << 16
+#: Languages of the model, at most: those with the most labelled rows.
+LANGUAGES = 100
+#: Host counts up to this number go to every task; more are joined by shuffle, each repeated this often for hot hosts.
+BROADCAST_HOSTS, SALTS = 100_000, 32
 #: Triples of a text overlap and repeat, so a text of any length counts as at most so many independent ones.
 EFFECTIVE = 60.0
 #: Weight of the wider level in the counts of the narrower one.
@@ -50,9 +56,12 @@ def _triples(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities of buckets): counts of all labelled rows; a row without language is left out.
 
-    The driver gets ``BUCKETS`` numbers for each language.
+    The driver gets ``BUCKETS`` numbers for each of at most ``LANGUAGES`` languages, those with the most rows; rows of
+    others are left out.
     """
     own = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and l <> ''")
+    known = [r["l"] for r in own.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
+    own = own.where(F.col("l").isin(known))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -77,11 +86,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
 
 def with_likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str, out: str) -> DataFrame:
     """``rows`` with log-likelihoods for each language in place of the text; an empty text has equal ones."""
-    languages, logs = model
+    languages, shared = model[0], rows.sparkSession.sparkContext.broadcast(model[1])  # at most LANGUAGES * BUCKETS numbers
     keep = [c for c in rows.columns if c not in (text, out)]
     schema = rows.select(*keep, F.array().cast("array<double>").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = shared.value
         for b in batches:
             found = []
             for at in range(0, b.num_rows, 512):
@@ -95,73 +105,88 @@ def with_likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray], text:
     return rows.mapInArrow(run, schema)
 
 
+def _code(c: Column) -> Column:
+    """A language code of two or three letters, without its region; empty for anything else.  There are 18 252 of them."""
+    return F.regexp_extract(F.lower(F.coalesce(c, F.lit(""))), "^([a-z]{2,3})(?:[-_][a-z0-9]{2,8})?$", 1)
+
+
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """``rows`` with (lang, probability, text_lang) in place of their evidence.
 
-    ``rows`` has text, declared (language), suffix (part of the address) and host, any of which may be null or empty:
-    such evidence says nothing, and so do declarations and suffixes that are no codes of two or three letters.  Other columns pass through; none may begin with two underscores.  Without languages in
-    the model lang is null.
+    ``rows`` has text, declared (language), suffix (the first part of the address's path) and host, any of which may be
+    null or empty: such evidence says nothing, and so do declarations and suffixes that are no codes of two or three
+    letters, with or without a region.  Hosts that differ in capital letters are one.  text_lang is what the text alone
+    says, null for a text of fewer than three bytes; of equally likely languages the first in order counts.  Texts of any
+    length are read whole.  Other columns pass through, but for those named like an output, which are replaced; every
+    row gives one row.  Without languages in the model lang is null.
     """
     languages, _ = model
-    ids = [c for c in rows.columns if c not in ("text", "declared", "suffix", "host")]
-    own = materialize(with_likelihoods(rows, model, "text", "__text"))
+    made = ("lang", "probability", "text_lang")
+    ids = [q for c, q in zip(rows.columns, quoted(rows), strict=True) if c not in ("text", "declared", "suffix", "host", *made)]
+    host = F.lower(F.coalesce("host", F.lit("")))
+    own = rows.select(F.struct(*([F.col(c) for c in ids] or [F.lit(0).alias("none")])).alias("keep"), "text", _code(F.col("declared")).alias("declared"), _code(F.col("suffix")).alias("part"), host.alias("host"))
+    kept = ["keep.*"] if ids else []
     if not languages:
-        return own.select(*ids, *[F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("probability", "double"), ("text_lang", "string"))])
-    names = F.array(*[F.lit(x) for x in languages])
-    top = lambda c: F.get(names, F.array_position(c, F.array_max(c)).cast("int") - 1)
-    labels = F.split(F.coalesce("host", F.lit("")), r"\.")
-    own = own.withColumn("__best", top(F.col("__text"))).withColumn("__domain", F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), 2), ".")).withColumn("__top", F.element_at(labels, -1))
-    own = own.withColumn("__host", F.lower(F.coalesce("host", F.lit(""))))
-    for c in ("declared", "suffix"):  # codes of two or three letters: there are 18 252 of them
-        code = F.lower(F.coalesce(c, F.lit("")))
-        own = own.withColumn(f"__{c}", F.when(code.rlike("^[a-z]{2,3}$"), code).otherwise(F.lit("")))
+        return own.select(*kept, *[F.lit(None).cast(t).alias(c) for c, t in zip(made, ("string", "double", "string"), strict=True)])
     k = len(languages)
+    labels = F.split("host", r"\.")
+    own = own.withColumn("ending", F.when(F.size(labels) > 1, _code(F.element_at(labels, -1))).otherwise(F.lit("")))
+    own = materialize(with_likelihoods(own, model, "text", "said"))
+    best = lambda c: F.array_position(c, F.array_max(c)).cast("int") - 1
+    own = own.withColumn("vote", F.when(F.array_max("said") > F.array_min("said"), best(F.col("said"))))
 
     def counts(*by: str) -> DataFrame:
         """How many rows of each group are in each language, going by their texts."""
-        each = F.array(*[F.count_if(F.col("__best") == x).cast("double") for x in languages])
-        return own.groupBy(*by).agg(each.alias("n"))
+        return own.groupBy(*by).agg(F.array(*[F.count_if(F.col("vote") == i).cast("double") for i in range(k)]).alias("n"))
 
     add = lambda a, b, w: F.zip_with(a, b, lambda x, y: x + w * y)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    share = lambda n, wider: F.transform(add(n, wider, PRIOR), lambda x: x / (total(n) + PRIOR))
-    flat = F.array_repeat(F.lit(1.0 / k), k)
-    # Priors, from the whole table down to the host.
-    everything = F.array(*[F.lit(float(x)) for x in _shares(counts().first()["n"], k)])
-    tops = counts("__top").select("__top", share(F.col("n"), everything).alias("p"))
-    domains = counts("__top", "__domain").join(tops, "__top").select("__top", "__domain", share(F.col("n"), F.col("p")).alias("p"))
-    hosts = counts("__top", "__domain", "__host").join(domains, ["__top", "__domain"]).select("__host", share(F.col("n"), F.col("p")).alias("__prior"))
-    # What a declaration or suffix says: how often rows of each language have it.
-    sizes = everything
-
-    def says(column: str, out: str) -> DataFrame:
-        given = F.transform(F.zip_with(F.col("n"), sizes, lambda x, y: (x + 0.5) / y), lambda x: F.log(x))
-        return counts(column).select(column, F.when(F.col(column) == "", F.transform(flat, lambda _: F.lit(0.0))).otherwise(given).alias(out))
-
-    found = own.join(hosts, "__host", "left").join(F.broadcast(says("__declared", "__d")), "__declared", "left").join(F.broadcast(says("__suffix", "__s")), "__suffix", "left")
-    prior = F.transform("__prior", lambda x: F.log(F.greatest(x, F.lit(1e-9))))
-    posterior = add(add(add(F.col("__text"), prior, 1.0), F.col("__d"), 1.0), F.col("__s"), 1.0)
-    found = found.withColumn("__p", posterior).withColumn("__max", F.array_max("__p"))
-    return found.select(*ids, top(F.col("__p")).alias("lang"), (1 / total(F.transform("__p", lambda x: F.exp(x - F.col("__max"))))).alias("probability"), F.col("__best").alias("text_lang"))
-
-
-def _shares(n: list[float] | None, k: int) -> list[float]:
-    n = np.array(n or [0.0] * k) + 1.0
-    return (n / n.sum()).tolist()
+    scaled = lambda a: let(total(a), lambda t: F.transform(a, lambda x: x / t))
+    # Counts of hosts and their domains.
+    hosts = counts("host").withColumn("domain", F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), 2), "."))
+    hosts = materialize(hosts)
+    domains = hosts.groupBy("domain").agg(F.array(*[F.sum(F.get("n", F.lit(i))) for i in range(k)]).alias("wide"))
+    hosts = hosts.join(domains, "domain").select("host", "n", "wide")
+    everything = F.array(*[F.lit(float(x)) for x in (counts().first()["n"])])
+    if hosts.count() <= BROADCAST_HOSTS:
+        found = own.join(F.broadcast(hosts), "host")
+    else:
+        found = own.withColumn("salt", F.pmod(F.xxhash64("said", "keep"), F.lit(SALTS)).cast("int"))
+        found = found.join(hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"])
+    found = found.withColumn("own", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(i == F.col("vote"), F.lit(1.0)).otherwise(F.lit(0.0))))
+    others = lambda a: add(a, F.col("own"), F.lit(-1.0))
+    smooth = lambda n, wider: let(others(n), lambda x: scaled(add(x, wider, F.lit(PRIOR))))
+    log = lambda a: F.transform(a, lambda x: F.log(x))
+    prior = let(scaled(F.transform(others(everything), lambda x: x + 1.0)), lambda all_: let(smooth(F.col("wide"), all_), lambda wide: log(smooth(F.col("n"), wide))))
+    terms = [F.col("said"), prior]
+    # What a code says: how often the other rows of each language have it.
+    for c in ("declared", "ending", "part"):
+        found = found.join(F.broadcast(counts(c).select(c, F.col("n").alias(f"n_{c}"))), c)  # codes: at most 18 253
+        given = F.zip_with(F.col(f"n_{c}"), everything, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        given = F.zip_with(given, F.col("own"), lambda s, o: F.log((s["x"] - o + 0.5) / (s["y"] - o + 1.0)))
+        terms.append(F.when(F.col(c) == "", F.array_repeat(F.lit(0.0), k)).otherwise(given))
+    posterior = terms[0]
+    for t in terms[1:]:
+        posterior = add(posterior, t, F.lit(1.0))
+    names = F.array(*[F.lit(x) for x in languages])
+    found = found.select("keep", "vote", posterior.alias("p"))
+    chance = let(F.array_max("p"), lambda top: 1 / total(F.transform("p", lambda x: F.exp(x - top))))
+    return found.select(*kept, F.get(names, best(F.col("p"))).alias("lang"), chance.alias("probability"), F.get(names, F.col("vote")).alias("text_lang"))
 
 
 def languages_of(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """(kind, doc_id, page_id, held_out, lang, probability, text_lang) for every document and every page.
 
     A document has its source for host; a page has its url's host, the language its markup declares, and the first part
-    of its url's path where that is of two letters.  The model is of the documents that aren't held out; document labels
-    are used for nothing else.  Null ids, texts and urls, and repeated rows, each get a row.
+    of its url's path where that is a code of two letters, with or without a region.  The model is of the documents that
+    aren't held out; document labels are used for nothing else.  Null ids, texts and urls, and repeated rows, each get a
+    row; empty tables give none.  Other columns are not read.
     """
     model = train(docs.where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT))
     none = lambda t: F.lit(None).cast(t)
     a = docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("long"), none("long").alias("page_id"), (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("text"), none("string").alias("declared"), none("string").alias("suffix"), F.col("source").alias("host"))
     b = pages.select(
         F.lit("page").alias("kind"), none("long").alias("doc_id"), F.col("page_id").cast("long"), F.lit(True).alias("held_out"), plain_text(F.col("html")).alias("text"),
-        F.regexp_extract(F.coalesce("html", F.lit("")), r"""(?i)<html\b[^>]*?\blang=["']?([a-z]{2,3})""", 1).alias("declared"), F.regexp_extract(path_of(F.col("url")), r"^/([a-z]{2})(?:/|$)", 1).alias("suffix"), host_of(F.col("url")).alias("host"),
+        F.regexp_extract(F.coalesce("html", F.lit("")), r"""(?i)<html\b[^>]*?\blang=["']?([a-z]{2,3}(?:-[a-z0-9]{2,8})?)""", 1).alias("declared"), F.regexp_extract(path_of(F.col("url")), r"^/([A-Za-z]{2}(?:[-_][A-Za-z]{2})?)(?:/|$)", 1).alias("suffix"), host_of(F.col("url")).alias("host"),
     )
     return identify(a.unionByName(b), model)

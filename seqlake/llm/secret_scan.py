@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, quoted
+from .common import fresh, let, materialize, quoted
 
 #: The patterns of the three kinds, in the order that equal starts are listed in.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,11 +39,6 @@ BLOCK, LETTERS = 128, 4096
 LIMIT, FALSE_SHARE, BINS, POWERS = 3.3, 0.01, 20, 60
 
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def running(values: Column, zero: Column, add) -> Column:
     """For each entry what ``add`` makes of all entries up to it, in time that grows with the power 1.5 of their number."""
     fold = lambda a: F.aggregate(a, zero, add)

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from seqlake.llm import elias_fano, langid, lm_score, toxicity
@@ -125,6 +126,58 @@ def test_what_is_declared_decides_where_text_says_nothing(spark):
     assert got[100] == "fr" and got[101] == "en"
 
 
+def brute_posteriors(rows, languages):
+    """rows: (log-likelihoods, declared, part, host); every count leaves the row itself out."""
+    k, host = len(languages), lambda h: (h or "").lower()
+    code = lambda c: m[1] if (m := re.fullmatch("([a-z]{2,3})(?:[-_][a-z0-9]{2,8})?", (c or "").lower())) else ""
+    domain, ending = lambda h: ".".join(host(h).split(".")[-2:]), lambda h: code(host(h).split(".")[-1]) if "." in host(h) else ""
+    vote = [int(np.argmax(s)) if max(s) > min(s) else None for s, *_ in rows]
+    out = []
+    for i, (said, declared, part, h) in enumerate(rows):
+        others = [j for j in range(len(rows)) if j != i and vote[j] is not None]
+        count = lambda f: np.array([sum(vote[j] == x and f(rows[j]) for j in others) for x in range(k)], float)  # noqa: E731, B023
+        every = count(lambda r: True)
+        p = (every + 1) / (every + 1).sum()
+        for level in (lambda r: domain(r[3]) == domain(h), lambda r: host(r[3]) == host(h)):  # noqa: B023
+            n = count(level) + langid.PRIOR * p
+            p = n / n.sum()
+        z = np.array(said) + np.log(p)
+        for mine, of in ((code(declared), lambda r: code(r[1])), (ending(h), lambda r: ending(r[3])), (code(part), lambda r: code(r[2]))):
+            if mine:
+                z += np.log((count(lambda r: of(r) == mine) + 0.5) / (every + 1))  # noqa: B023
+        e = np.exp(z - z.max())
+        out.append((languages[int(z.argmax())], float(1 / e.sum()), None if vote[i] is None else languages[vote[i]]))
+    return out
+
+
+@pytest.mark.parametrize("hosts", [100_000, 0])
+def test_evidence_is_fused_as_brute_force_does(spark, monkeypatch, hosts):
+    monkeypatch.setattr(langid, "BROADCAST_HOSTS", hosts)
+    rng = random.Random(6)
+    speech = {"en": "the and of to in is that it", "fr": "le la les un une et est que", "de": "der die das und ist nicht ein zu"}
+    model = langid.train(spark.createDataFrame([(t * 3, lang) for lang, t in speech.items()], "text string, lang string"))
+    rows = []
+    for i in range(60):
+        lang = rng.choice(list(speech))
+        text = rng.choice((" ".join(rng.choices(speech[lang].split(), k=rng.randrange(1, 9))), "", None, "xq"))
+        rows.append((i, text, rng.choice((lang, f"{lang}-XX", "zz9", None, "")), rng.choice((lang.upper(), "img", None)), rng.choice((f"Wiki.example.{lang}", f"wiki.EXAMPLE.{lang}", f"a.b.example.{lang}", "Host", "host", "", None, "x.org")), "__x"))
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "id int, text string, declared string, suffix string, host string, `__keep` string")
+    said = {r.id: list(r.s) for r in langid.with_likelihoods(df.select("id", "text"), model, "text", "s").collect()}
+    want = brute_posteriors([(said[r[0]], r[2], r[3], r[4]) for r in rows], model[0])
+    out = langid.identify(df, model)
+    assert out.columns == ["id", "__keep", "lang", "probability", "text_lang"]
+    key = lambda x: (x[0], x[1], x[2], str(x[3]))
+    got = sorted(((r.id, r.lang, round(r.probability, 9), r.text_lang) for r in out.collect()), key=key)
+    assert got == sorted(((r[0], lang, round(p, 9), t) for r, (lang, p, t) in zip(rows, want, strict=True)), key=key)
+
+
+def test_many_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    docs = spark.createDataFrame([(f"text {i}", f"junk{i}") for i in range(20)] + [("le la les", "fr")] * 3 + [("the and of", "en")] * 2 + [("x", None)], "text string, lang string")
+    assert langid.train(docs)[0] == ["en", "fr"]
+
+
 def test_pipeline_stages(spark, sf_dir, rough):
     import corpus_pipeline as p
     from seqlake.llm import decontam, simhash
