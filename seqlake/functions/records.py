@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +50,10 @@ class CorruptRecord(StoreError):
     """A record does not match its checksum, or breaks the rules for records."""
 
 
+#: What a read of a damaged record fails with.
+DAMAGED = "a record does not match its checksum"
+
+
 class NeedFullSync(StoreError):
     """What was asked for was compacted away; start from a snapshot."""
 
@@ -82,6 +90,30 @@ def faults(key: str = "key", value: str = "value") -> Column:
     )
 
 
+def refused(fault: Column) -> Column:
+    """True where there is no fault; fails the job that meets one, with a message that :func:`fault_of` reads."""
+    return F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("<fault:"), fault, F.lit(">"))).cast("boolean"))
+
+
+def fault_of(error: Exception) -> str | None:
+    """The fault that a job failed with, if that is why."""
+    found = re.search("<fault:([a-z ]+)>", str(error))
+    return found and found[1]
+
+
+@contextmanager
+def sound() -> Iterator[None]:
+    """A job that fails because of a damaged record raises :class:`CorruptRecord`."""
+    try:
+        yield
+    except StoreError:
+        raise
+    except Exception as e:
+        if DAMAGED in str(e):
+            raise CorruptRecord(DAMAGED) from e
+        raise
+
+
 _ERRORS = {"empty key": EmptyKey, "key too large": KeyTooLarge, "value too large": ValueTooLarge}
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import CorruptRecord, NeedFullSync, record_crc
+from ..functions import DAMAGED, CorruptRecord, NeedFullSync, record_crc
+from ..functions.tables import materialize
 from .state import live, strip_batches
 
-__all__ = ["get", "in_range", "scan_range", "scan_capped", "next_page", "snapshot", "records_since", "verified", "elect", "MAX_RANGE_RESULTS"]
+__all__ = ["get", "in_range", "within", "scan_range", "scan_capped", "next_page", "snapshot", "records_since", "verified", "elect", "MAX_RANGE_RESULTS"]
 
 #: Rows of a capped range, unless said otherwise.
 MAX_RANGE_RESULTS = 100_000
@@ -21,9 +22,13 @@ def get(log: DataFrame, key) -> DataFrame:
 
 def in_range(df: DataFrame, start=None, end=None) -> DataFrame:
     """Rows with start <= key <= end, both inclusive; None or empty is no bound; an inverted range is empty."""
-    if start:
-        df = df.where(F.col("key") >= F.lit(start))
-    return df.where(F.col("key") <= F.lit(end)) if end else df
+    return df.where(within(start, end))
+
+
+def within(start=None, end=None) -> Column:
+    """The condition of :func:`in_range`."""
+    out = F.col("key") >= F.lit(start) if start else F.lit(True)
+    return out & (F.col("key") <= F.lit(end)) if end else out
 
 
 def scan_range(log: DataFrame, start=None, end=None, limit: int = 0) -> DataFrame:
@@ -33,10 +38,10 @@ def scan_range(log: DataFrame, start=None, end=None, limit: int = 0) -> DataFram
 
 
 def scan_capped(log: DataFrame, start=None, end=None, limit: int = 0, cap: int = MAX_RANGE_RESULTS) -> tuple[DataFrame, bool]:
-    """A range of at most ``cap`` rows, and whether there are more than were given."""
+    """A range of at most ``cap`` rows, and whether there are more than were given.  The range is read once."""
     n = min(limit, cap) if limit > 0 else cap
-    out = scan_range(log, start, end, n)
-    return out, scan_range(log, start, end, n + 1).count() > n
+    out = materialize(scan_range(log, start, end, n + 1))
+    return out.orderBy("key").limit(n), out.count() > n
 
 
 def next_page(log: DataFrame, after, end=None, limit: int = 0) -> DataFrame:
@@ -64,11 +69,10 @@ def verified(log: DataFrame, mode: str = "fail") -> DataFrame:
         return log.where(right)
     if mode != "fail":
         raise CorruptRecord(f"mode is {mode}, not fail or skip")
-    return log.where(F.assert_true(right, F.lit("a record does not match its checksum")).isNull())
+    return log.where(F.assert_true(right, F.lit(DAMAGED)).isNull())
 
 
 def elect(votes: DataFrame, nodes: int) -> DataFrame:
     """The candidate to lead: highest seq, then lowest id; none without votes of a majority of ``nodes``."""
-    quorum = votes.agg((F.count("*") * 2 > nodes).alias("quorum"))
-    best = votes.agg(F.min_by(F.struct("id", "seq"), F.struct(-F.col("seq"), F.col("id"))).alias("best"))
-    return best.join(quorum, F.col("quorum")).select("best.id", "best.seq")
+    best = F.min_by(F.struct("id", "seq"), F.struct(-F.col("seq"), F.col("id"))).alias("best")
+    return votes.agg(best, F.count("*").alias("n")).where(F.col("n") * 2 > nodes).select("best.id", "best.seq")

@@ -13,20 +13,31 @@ from ..functions import record_size
 __all__ = ["latest", "latest_by_window", "live", "index_view", "signed_size", "batch_gate", "unfinished_batches", "strip_batches", "compact_log", "same_seq_conflicts"]
 
 
+def _newest(log: DataFrame) -> list[Column]:
+    """What is greatest for the record of a key that counts.
+
+    Of records with equal key and sequence, which are replays of one, that of the first commit counts where the log says
+    which commit a record is of; else, and within a commit, the one with the greatest hash, which is the same each time.
+    """
+    rest = [c for c in log.columns if c not in ("key", "seq", "commit_id")]
+    return [F.col("seq"), *([-F.col("commit_id")] if "commit_id" in log.columns else []), F.xxhash64(*rest)]
+
+
 def latest(log: DataFrame) -> DataFrame:
     """The newest record of each key, tombstones included; all columns.
 
-    One aggregate with partial results before the shuffle, so a hot key sends one row for each task.  Of records with
-    equal key and sequence, which are the same record replayed, any one stays.
+    One aggregate with partial results before the shuffle, so a hot key sends one row for each task.  Records with
+    equal key and sequence are one record replayed: see :func:`_newest`.
     """
     rest = [c for c in log.columns if c != "key"]
-    won = log.groupBy("key").agg(F.max_by(F.struct(*rest), "seq").alias("__won"))
+    order = [o.alias(f"o{i}") for i, o in enumerate(_newest(log))]
+    won = log.groupBy("key").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__won"))
     return won.select("key", "__won.*").select(*log.columns)
 
 
 def latest_by_window(log: DataFrame) -> DataFrame:
     """The same as :func:`latest` by a window; the two plans check each other in tests."""
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq")))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(*[o.desc() for o in _newest(log)]))
     return log.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 

@@ -5,20 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import faults
-from ..functions.tables import with_position
+from ..functions import fault_of, faults, raise_fault, refused
+from ..functions.tables import numbered, with_position
 from .state import live
 
-__all__ = ["puts", "tombstones", "missing_keys", "apply_records", "input_faults", "deduplicated"]
+__all__ = ["puts", "records_of", "tombstones", "missing_keys", "apply_records", "input_faults", "deduplicated"]
 
 
 def puts(rows: DataFrame, base: int, order: str, batch_id: int | None = None, ts_ns: int = 0) -> DataFrame:
     """Records for (key, value) rows, numbered after ``base`` in the order of ``order``: of equal keys the last wins.
 
-    With a ``batch_id`` they are one batch, whose last record ends it.
+    With a ``batch_id`` they are one batch, whose last record ends it.  Rows are validated as they are numbered: a bad
+    one raises its error here.
     """
-    placed = with_position(rows.select("key", "value", order), order)
-    last = placed.agg(F.max("pos")).first()[0] if batch_id is not None else None
+    try:
+        placed, last = numbered(rows.select("key", "value", order).where(refused(faults())), order)
+    except Exception as e:
+        raise_fault(fault_of(e))
+        raise
+    return records_of(placed, base, last, batch_id, ts_ns)
+
+
+def records_of(placed: DataFrame, base: int, last: int, batch_id: int | None = None, ts_ns: int = 0) -> DataFrame:
+    """Records for (key, value, pos) rows, of which ``last`` is the last position."""
     inside = F.lit(batch_id is not None)
     return placed.select(
         "key", (F.lit(base) + F.col("pos")).cast("long").alias("seq"), F.lit(ts_ns).cast("long").alias("ts_ns"), F.lit(False).alias("tomb"), inside.alias("batch"),

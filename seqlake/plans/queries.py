@@ -275,7 +275,7 @@ def _store(spark: SparkSession, name: str):
 
 def _filled(spark: SparkSession, sf_dir: str):
     """A store with the orders log in three commits, of which the last repeats part of the first."""
-    log = orders_log(spark, sf_dir).selectExpr("key", "seq", "cast(0 AS bigint) AS ts_ns", "tomb", "false AS batch", "false AS batch_end", "cast(null AS bigint) AS batch_id", "value")
+    log = _as_records(orders_log(spark, sf_dir))
     store = _store(spark, "orders")
     half = log.agg((F.max("seq") / 2).cast("long")).first()[0]
     store.apply(log.where(F.col("seq") > half))
@@ -303,19 +303,51 @@ def store_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.state().select("key", "value")
 
 
+def _as_records(log: DataFrame) -> DataFrame:
+    return log.selectExpr("key", "seq", "cast(0 AS bigint) AS ts_ns", "tomb", "false AS batch", "false AS batch_end", "cast(null AS bigint) AS batch_id", "value")
+
+
 @query(_sql("SELECT key, seq, value FROM state", _ORDERS))
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest-wins state kept by a stream over the log's files, run to the end of what is there."""
-    from ..streaming import read_log_stream
-    from ..streaming import stream_latest as newest
+    from ..streaming import keep_latest, read_log_stream
 
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    log = orders_log(spark, sf_dir)
+    log = _as_records(orders_log(spark, sf_dir))
     log.repartition(4).write.parquet(f"{folder}/log")
-    name = "newest_" + uuid.uuid4().hex
-    state = newest(read_log_stream(spark, f"{folder}/log", log.schema, max_files=2))
-    state.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).where("not tomb").select("key", "seq", "value")
+    store = _store(spark, "newest")
+    keep_latest(read_log_stream(spark, f"{folder}/log", log.schema, max_files=2), store, f"{folder}/checkpoint").awaitTermination()
+    return store.state().select("key", "seq", "value")
+
+
+@query(f"WITH log AS ({_ORDERS}) SELECT cast(count(*) + count(*) FILTER (seq % 7 = 0) AS bigint) AS records, cast(count(*) FILTER (seq % 50 = 0) + count(*) FILTER (seq % 50 = 0 AND seq % 7 = 0) AS bigint) AS damaged FROM log")
+def store_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values altered behind the store's back: how many records there are, and how many a verified read refuses."""
+    from ..sources.manifest import Version
+
+    store = _filled(spark, sf_dir)
+    at = store.version()
+    stored = spark.read.parquet(*[f"{store.path}/{c['path']}" for c in at.commits])
+    altered = stored.withColumn("value", F.when(F.col("seq") % 50 == 0, F.concat("value", F.lit("x"))).otherwise(F.col("value")))
+    altered.write.parquet(f"{store.path}/data/altered")
+    store.manifest.publish(Version(at.version + 1, [{"id": 1, "path": "data/altered", "records": 0}], at.last_seq, 0, [], at.next_commit + 1))
+    counts = store.log(verify="no").agg(F.count("*").alias("records")).join(store.log(verify="skip").agg(F.count("*").alias("sound")))
+    return counts.select("records", (F.col("records") - F.col("sound")).alias("damaged"))
+
+
+@query(f"WITH log AS ({_EVENTS}) SELECT file_id, key, seq, tomb, value FROM (SELECT *, seq % 4 AS file_id, row_number() OVER (PARTITION BY seq % 4 ORDER BY seq) AS nth FROM log) WHERE file_id <> 3 OR nth <= 20")
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary record files: one ends in the middle of a record, one has a damaged record, after which nothing is read."""
+    from ..sources.recordfiles import parse_files, record_bytes
+
+    log = _as_records(events_log(spark, sf_dir)).withColumn("file_id", F.col("seq") % 4)
+    rank = F.row_number().over(Window.partitionBy("file_id").orderBy("seq"))
+    one = F.hex(record_bytes())
+    damaged = F.when((F.col("file_id") == 3) & (F.col("nth") == 21), F.concat(F.lit("00000000"), F.substring(one, 9, 1 << 30))).otherwise(one)
+    files = log.withColumn("nth", rank).select("file_id", F.struct("nth", damaged.alias("hex")).alias("r")).groupBy("file_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    whole = F.unhex(F.concat(F.array_join(F.transform("rows", lambda r: r["hex"]), ""), F.when(F.col("file_id") == 1, "0102030405").otherwise("")))
+    parsed = parse_files(files.select("file_id", whole.alias("content")))
+    return parsed.select("file_id", F.col("key").cast("string").alias("key"), "seq", "tomb", F.col("value").cast("string").alias("value"))
 
 
 @query(_sql("SELECT key, seq, value FROM state", _ORDERS))

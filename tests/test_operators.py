@@ -141,3 +141,38 @@ def test_tables_in_the_shared_folder_are_released(spark):
 
     df = materialize(spark.range(10))
     assert df.count() == 10 and release(spark) >= 1 and release(spark) == 0
+
+
+def test_election_is_one_aggregate(spark):
+    votes = spark.createDataFrame([(3, 10), (1, 12), (2, 12)], "id int, seq long")
+    out = op.elect(votes, 5)
+    assert [tuple(r) for r in out.collect()] == [(1, 12)] and op.elect(votes, 6).collect() == []
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_folder_for_tables_must_be_shared(spark, monkeypatch):
+    from seqlake.functions import StoreError, tables
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": lambda self, key, default: default})()
+
+    with pytest.raises(StoreError, match="spark.checkpoint.dir"):
+        tables.shared_dir(Session())
+
+
+def test_tables_are_released(spark):
+    from seqlake.functions.tables import made, materialize, release
+
+    before = made()
+    a, b = materialize(spark.range(3)), materialize(spark.range(5))
+    assert made() == before + 2 and release(spark, before, keep=b) == 1 and b.count() == 5 and made() == before + 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(a.inputFiles()[0]).count()
+    assert release(spark, before) == 1

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from seqlake.functions import BatchMismatch, CommitConflict, CorruptRecord, EmptyKey, KeyNotFound, KeyTooLarge, NeedFullSync, StoreClosed, log_schema
 from seqlake.sources import Store
 from seqlake.sources.manifest import Version
-from seqlake.sources.recordfiles import parse_records, read_record_files
+from seqlake.sources.recordfiles import parse_hints, parse_records, read_hint_files, read_record_files, record_bytes
 from seqlake.streaming import catch_up, follow
 
 
@@ -180,6 +180,90 @@ def test_damaged_rows_are_never_read_as_right(spark, tmp_path):
         s.checked().collect()
 
 
+def damage(spark, store, key):
+    """Alter a key's value on disk, and leave its checksum."""
+    for commit in store.version().commits:
+        folder = f"{store.path}/{commit['path']}"
+        df = spark.read.parquet(folder)
+        rows, schema = df.withColumn("value", F.when(F.col("key") == key, F.concat("value", F.lit("!"))).otherwise(F.col("value"))).collect(), df.schema
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(folder)
+
+
+def test_every_read_and_a_compaction_refuse_damaged_records(spark, tmp_path):
+    s = text_store(spark, tmp_path)
+    s.batch_put([f"k{i}" for i in range(9)], [f"v{i}" for i in range(9)])
+    damage(spark, s, "k3")
+    assert s.get("k4") == "v4" and [r.key for r in s.scan("k4", "k6").collect()] == ["k4", "k5", "k6"]  # others can be read
+    with pytest.raises(CorruptRecord):
+        s.get("k3")
+    with pytest.raises(CorruptRecord):
+        s.read_key_range("k2", "k5")
+    for read in (lambda: s.scan("k3", "k3"), s.state, s.snapshot, lambda: s.records_since(2), lambda: s.feed(0)[1], lambda: s.feed(2)[1], s.log):
+        with pytest.raises(Exception, match="checksum"):
+            read().collect()
+    at = s.version().version
+    for write in (s.compact, lambda: text_store(spark, tmp_path / "b").apply(s.log()), lambda: s.delete("k3")):
+        with pytest.raises(CorruptRecord):
+            write()
+    assert s.version().version == at and not any((tmp_path / "b" / "_manifest").glob("v*")) and len(s) == 9
+    assert s.start_compaction()
+    with pytest.raises(CorruptRecord):  # what went wrong in the background is not lost
+        s.close()
+
+
+def test_transactions_are_remembered_for_good(spark, tmp_path, monkeypatch):
+    from seqlake.sources import manifest
+
+    monkeypatch.setattr(manifest, "REMEMBERED", 2)
+    s = text_store(spark, tmp_path)
+    for i in range(5):
+        s.put("a", str(i), txn=f"t{i}")
+    assert len(s.version().txn_ids) == 2
+    for i in range(5):
+        assert s.put("a", "again", txn=f"t{i}") == 5
+    assert s.get("a") == "4" and s.put("a", "5", txn="t5") == 6
+
+
+def test_replace_is_one_version(spark, tmp_path):
+    a, b = text_store(spark, tmp_path / "a"), text_store(spark, tmp_path / "b")
+    a.batch_put(["x", "y"], ["1", "2"])
+    b.batch_put(["old"] * 9, ["0"] * 9)
+    before = b.version().version
+    assert b.replace(a.snapshot(), txn="full") == 2 and b.version().version == before + 1 and state(b) == {"x": "1", "y": "2"}
+    assert b.replace(a.snapshot(), txn="full") == 2 and b.version().version == before + 1
+    b.replace(a.snapshot().limit(0))
+    assert len(b) == 0 and b.seq() == 0
+
+
+def test_first_of_equal_sequence_numbers_stays(spark, tmp_path):
+    a, b = text_store(spark, tmp_path / "a"), text_store(spark, tmp_path / "b")
+    a.put("k", "first")
+    b.put("k", "second")
+    a.apply(b.log())
+    assert a.get("k") == "first" and state(a) == {"k": "first"}
+    a.compact()
+    assert a.get("k") == "first"
+
+
+def test_files_have_a_size_in_bytes(spark, tmp_path):
+    s = Store(spark, str(tmp_path), T.StringType(), file_bytes=100_000)
+    s.batch_put(spark.range(0, 400, 1, 1).select(F.format_string("k%03d", "id").alias("key"), F.repeat(F.lit("v"), 1000).alias("value"), F.col("id").alias("ord")))
+    files = s.log().inputFiles()
+    assert len(files) >= 4 and len(s) == 400
+    s.compact()
+    assert len(s.log().inputFiles()) >= 4 and s.version().commits[0]["bytes"] == 400 * (29 + 4 + 1000)
+
+
+def test_a_bad_row_of_a_large_batch_rejects_all(spark, tmp_path):
+    s = text_store(spark, tmp_path)
+    rows = spark.range(100).select(F.when(F.col("id") == 77, "").otherwise(F.col("id").cast("string")).alias("key"), F.lit("v").alias("value"), F.col("id").alias("ord"))
+    with pytest.raises(EmptyKey):
+        s.batch_put(rows)
+    with pytest.raises(KeyTooLarge):
+        s.batch_put(rows.withColumn("key", F.when(F.col("ord") == 5, F.repeat(F.lit("k"), 70_000)).otherwise("x")))
+    assert s.version().version == 0 and s.batch_put(rows.limit(0)) == 0
+
+
 def test_ranges_of_a_store(spark, tmp_path):
     s = Store(spark, str(tmp_path), T.StringType(), max_range=10)
     s.batch_put([f"k{i:03d}" for i in range(50)], ["v"] * 50)
@@ -249,3 +333,26 @@ def test_record_files(spark, tmp_path):
     flipped = bytearray(good)
     flipped[40] ^= 0xFF
     assert len(list(parse_records(bytes(flipped)))) < 4 and list(parse_records(b"")) == []
+
+
+def _hint(seq, pos, key, size=40, flags=0):
+    return struct.pack("<QBQII", seq, flags, pos, size, len(key)) + key
+
+
+def test_hint_files(spark, tmp_path):
+    magic = b"ABCDEFG1"
+    for i, hint in ((1, magic + _hint(1, 0, b"a") + _hint(2, 40, b"b", 31, 1)), (2, magic + _hint(3, 0, b"c")[:-1]), (3, b"garbage")):
+        (tmp_path / f"{i:010d}.data").write_bytes(_record(10 * i, b"d%d" % i, b"value"))
+        (tmp_path / f"{i:010d}.hint").write_bytes(hint)
+    (tmp_path / "0000000004.data").write_bytes(_record(40, b"d4", b"", 1))  # no hint
+    (tmp_path / "0000000005.hint").write_bytes(magic + _hint(9, 0, b"orphan"))
+    got = sorted((r.file_id, r.pos, bytes(r.key), r.seq, r.tomb, r.size) for r in read_hint_files(spark, str(tmp_path), magic).collect())
+    assert got == [(1, 0, b"a", 1, False, 40), (1, 40, b"b", 2, True, 31), (2, 0, b"d2", 20, False, 36), (3, 0, b"d3", 30, False, 36), (4, 0, b"d4", 40, True, 31)]
+    assert parse_hints(magic, magic) == [] and parse_hints(b"", magic) is None
+
+
+def test_written_records_are_read_again(spark):
+    rows = [(b"k", 1, 7, False, False, False, None, b"v"), (b"\x00\xff", 1 << 40, -1, True, True, True, 3, None), (b"e", 3, 0, False, True, False, 3, b"")]
+    df = spark.createDataFrame(rows, log_schema()).select(record_bytes().alias("b"))
+    got = [list(parse_records(bytes(r.b)))[0][1:] for r in df.collect()]
+    assert got == [(1, 7, 0, b"k", b"v"), (1 << 40, -1, 7, b"\x00\xff", b""), (3, 0, 2, b"e", b"")]
