@@ -5,10 +5,12 @@ hashes.  Blocks and shards then talk in two rounds, in packed messages of one ro
 
 1. A block sends its words and their training counts to the words' shards, which add up and send the totals back.
 2. A block sends its word pairs and their training counts to the shards of their contexts; each shard merges them into
-   an Elias-Fano trie of quantised probabilities, looks up the pairs it was asked for, and sends their codes back.
+   an Elias-Fano trie of quantised probabilities, looks up in it the pairs it was asked for, and sends their codes back.
 
-A word is counted once for each block before it travels, so a frequent word is no hot key; the successors of the few
-contexts that make up a large share of all tokens are spread over several shards.  Counts cover all training documents.
+Smoothing is absolute discounting: a pair's count less ``DISCOUNT`` over its context's, and what that leaves goes to the
+distribution of single words.  A word is counted once for each block before it travels, so a frequent word is no hot
+key; the successors of the few contexts that make up a large share of all tokens are spread over several shards.  Counts
+cover all training documents.
 """
 
 from __future__ import annotations
@@ -25,15 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, materialize
-from .elias_fano import VALUE, Trie, decode, encode
+from .elias_fano import KEY_BITS, VALUE, Trie, decode, encode
 
-#: Bytes of text in a block.  Messages number blocks times shards, so blocks should grow with very large inputs.
-BLOCK_BYTES = 4 << 20
-#: Weight of the one-word distribution in a context's counts.
-PRIOR = 20.0
+#: Bytes of text in a block, and blocks for each shard.  There is a message for each block and shard, so both should grow
+#: with inputs of more than some terabytes; memory in a worker is some ten times either.
+BLOCK_BYTES, SHARD_BLOCKS = 4 << 20, 4
+#: What each pair's count is lessened by, for the pairs that were not seen.
+DISCOUNT = 0.9
 #: Documents with this remainder of crc32 modulo ``FOLDS`` are held out of training.
 FOLDS, HELD_OUT = 5, 1
 _END = xxhash.xxh64_intdigest(b"\n")  # no word holds white space
+#: A successor's key is so much of its hash: of ten million successors of a context one in 100 000 unseen ones meets another's.
+_KEY = np.uint64((1 << KEY_BITS) - 1)
 
 
 def _squeeze(a: np.ndarray) -> bytes:
@@ -116,7 +121,7 @@ class _Block:
             at = np.minimum(np.searchsorted(keys, self.words), len(keys) - 1)
             ways = np.where(keys[at] == self.words, np.array([hot[int(k)] for k in keys], np.uint64)[at], ways)
         shard = ((first % np.uint64(shards) + second % ways[pairs // len(self.words)]) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((second & np.uint64(0xFFFFFFFF), first, shard))
+        order = np.lexsort((second & _KEY, first, shard))
         return np.split(order, np.cumsum(np.bincount(shard, minlength=shards))[:-1])
 
 
@@ -167,10 +172,10 @@ def _pair_messages(shards: int, hot: dict[int, int]):
                 n = np.bincount(each[b.train], minlength=len(pairs))
                 for s, own in enumerate(b.pairs_by_shard(pairs, shards, hot)):
                     if len(own):
-                        first, second = b.words[pairs[own] // len(b.words)], b.words[pairs[own] % len(b.words)] & np.uint64(0xFFFFFFFF)
+                        first, second = b.words[pairs[own] // len(b.words)], b.words[pairs[own] % len(b.words)] & _KEY
                         contexts, start = np.unique(first, return_index=True)
                         nth = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(np.append(start, len(first))))
-                        yield _rows({"shard": [s], "block": [b.number], "a": [encode(contexts)], "b": [encode((nth << np.uint64(32)) | second)], "c": [_squeeze(n[own])]}, _MESSAGE)
+                        yield _rows({"shard": [s], "block": [b.number], "a": [encode(contexts)], "b": [encode((nth << np.uint64(KEY_BITS)) | second)], "c": [_squeeze(n[own])]}, _MESSAGE)
 
     return run
 
@@ -179,46 +184,68 @@ def _shard_pairs(rows: list[dict]) -> tuple[list[np.ndarray], list[np.ndarray],
     first, second, count = [], [], []
     for r in rows:
         contexts, keys = decode(r["a"]), decode(r["b"])
-        first.append(contexts[(keys >> np.uint64(32)).astype(np.int64)])
-        second.append(keys & np.uint64(0xFFFFFFFF))
+        first.append(contexts[(keys >> np.uint64(KEY_BITS)).astype(np.int64)])
+        second.append(keys & _KEY)
         count.append(_spread(r["c"]))
     return first, second, count
 
 
-def _shard_trie(first: np.ndarray, second: np.ndarray, count: np.ndarray, totals: dict[int, int]) -> bytes:
-    """The trie of a shard's pairs; a context's total is the sum of its pairs, or given if they are in several shards."""
-    seen = count > 0
-    first, second, count = first[seen], second[seen], count[seen]
+def _merged(first: np.ndarray, second: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, count, each): distinct pairs in order with their counts added up, and which of them each entry is."""
     order = np.lexsort((second, first))
-    first, second, count = first[order], second[order], count[order]
+    first, second = first[order], second[order]
     new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if len(first) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    count = np.add.reduceat(count, at) if len(at) else count
-    first, second = first[at], second[at]
+    at, each = np.flatnonzero(new), np.empty(len(order), np.int64)
+    each[order] = np.cumsum(new) - 1
+    return first[at], second[at], np.add.reduceat(count[order], at) if len(at) else count, each
+
+
+def _shard_trie(first: np.ndarray, second: np.ndarray, count: np.ndarray, totals: dict[int, int]) -> tuple[bytes, dict[int, int]]:
+    """The trie of a shard's distinct pairs in order, and how many successors the contexts of ``totals`` have here.
+
+    A context's total is the sum of its pairs, or given by ``totals`` if they are in several shards; a weight is the
+    share of its total that the discounts of its pairs leave, and is not used where pairs are in several shards.
+    """
+    seen = count > 0
+    first, second, count = first[seen], second[seen], count[seen]
     contexts, start = np.unique(first, return_index=True)
     pointers = np.append(start, len(first)).astype(np.int64)
-    own = np.repeat(np.arange(len(contexts)), np.diff(pointers))
+    types = np.diff(pointers)
+    own = np.repeat(np.arange(len(contexts)), types)
     total = np.bincount(own, count, minlength=len(contexts)) if len(contexts) else np.zeros(0)
+    spread = {}
     for k, n in totals.items():
         i = int(np.searchsorted(contexts, np.uint64(k)))
         if i < len(contexts) and int(contexts[i]) == k:
-            total[i] = n
-    return Trie.build(contexts, pointers, second, count / (total[own] + PRIOR))
+            total[i], spread[k] = n, int(types[i])
+    return Trie.build(contexts, pointers, second, (count - DISCOUNT) / total[own], DISCOUNT * types / np.maximum(total, 1)), spread
 
 
 def _answer_pairs(totals: dict[int, int]):
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        first, second, count = _shard_pairs(rows)
-        trie = Trie(_shard_trie(*(np.concatenate(x) for x in (first, second, count)), totals))
-        data = [zstandard.compress(trie.find(a, b).tobytes(), 1) for a, b in zip(first, second, strict=True)]
-        out = {"block": [r["block"] for r in rows], "shard": [r["shard"] for r in rows], "kind": ["pair"] * len(rows), "data": data, "tokens": [None] * len(rows), "types": [None] * len(rows)}
-        return pa.table({c: pa.array(out[c], k) for c, k in _ANSWER.items()})
+        asked = _shard_pairs(rows)
+        first, second, count, each = _merged(*(np.concatenate(x) for x in asked))
+        data, spread = _shard_trie(first, second, count, totals)
+        trie, codes, weights = Trie.mapped(data), np.zeros(len(first), np.uint8), np.zeros(len(first), np.uint8)
+        for at in range(0, len(first), 1 << 18):
+            part = slice(at, at + (1 << 18))
+            codes[part], weights[part] = trie.find(first[part], second[part])
+        out, at = [], 0
+        for f in asked[0]:
+            mine = each[at : at + len(f)]
+            new = np.concatenate([[True], f[1:] != f[:-1]])  # a weight for each context
+            out.append(zstandard.compress(np.concatenate([codes[mine], weights[mine][new]]).tobytes(), 1))
+            at += len(f)
+        none = [None] * len(rows)
+        columns = {"block": [r["block"] for r in rows], "shard": [r["shard"] for r in rows], "kind": ["pair"] * len(rows), "data": out, "tokens": none, "types": none}
+        more = {"block": [-1], "shard": [rows[0]["shard"]], "kind": ["types"], "data": [np.array([*spread, *spread.values()], np.uint64).tobytes()], "tokens": [None], "types": [None]}
+        return pa.table({c: pa.array(columns[c] + more[c], k) for c, k in _ANSWER.items()})
 
     return run
 
 
-def _score_block(shards: int, hot: dict[int, int], tokens: int, types: int, key_type: pa.DataType):
+def _score_block(shards: int, hot: dict[int, int], weights: dict[int, float], tokens: int, types: int, key_type: pa.DataType):
     scale = tokens + 0.5 * (types + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -231,13 +258,19 @@ def _score_block(shards: int, hot: dict[int, int], tokens: int, types: int, key_
                 if len(own):
                     count[own] = _spread(answers["word", s])
             pairs, each = b.pairs()
-            code = np.zeros(len(pairs), np.uint8)
+            code, left = np.zeros(len(pairs), np.uint8), np.zeros(len(b.words))
             for s, own in enumerate(b.pairs_by_shard(pairs, shards, hot)):
                 if len(own):
-                    code[own] = np.frombuffer(zstandard.decompress(answers["pair", s]), np.uint8)
+                    got, context = np.frombuffer(zstandard.decompress(answers["pair", s]), np.uint8), pairs[own] // len(b.words)
+                    code[own] = got[: len(own)]
+                    left[context[np.concatenate([[True], context[1:] != context[:-1]])]] = VALUE[got[len(own) :]]
+            if weights:  # of contexts that are in several shards
+                keys = np.array(sorted(weights), np.uint64)
+                at = np.minimum(np.searchsorted(keys, b.words), len(keys) - 1)
+                left = np.where(keys[at] == b.words, np.array([weights[int(k)] for k in keys])[at], left)
+            left[count == 0] = 1.0  # a context without training tokens says nothing
             single = (count + 0.5) / scale
-            back = PRIOR / (count[pairs // len(b.words)] + PRIOR)
-            p = VALUE[code] + back * single[pairs % len(b.words)]
+            p = VALUE[code] + left[pairs // len(b.words)] * single[pairs % len(b.words)]
             total = lambda x: np.bincount(b.doc, x, minlength=len(b.lengths))
             out["key"] += b.keys
             out["held_out"] += b.held.tolist()
@@ -256,14 +289,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", tries: list
 
     score is the model's log10 probability of the text: of each token after the one before it, from the trie's
     quantised share of the context's counts plus the one-word probability by what the context leaves it.  A null or
-    empty text is its end token alone; without training documents all counts are 0.  Repeated rows and null keys each
-    get a row.  Other columns are not read.  ``tries``, if given, gets a DataFrame (shard, trie) of the model's bytes,
+    empty text is its end token alone; very long texts are read whole; without training documents all counts are 0.
+    Repeated rows and null keys each get a row.  Other columns are not read.  ``tries``, if given, gets a DataFrame (shard, trie) of the model's bytes,
     which :class:`Trie` reads or maps from a file.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     made = materialize(blocks(docs, key, text))
-    shards = max(8, made.count() // 2)
+    shards = max(8, made.count() // SHARD_BLOCKS)
     words = materialize(made.mapInArrow(_word_messages(shards), _MESSAGE_SQL).groupBy("shard").applyInArrow(_add_words, _ANSWER_SQL))
     tokens, types, hot, totals = 0, 0, {}, {}
     for r in words.where("kind = 'total'").select("tokens", "types").groupBy().agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).collect():
@@ -273,13 +306,20 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", tries: list
         for k, n in np.frombuffer(r["data"], np.uint64).reshape(2, -1).T.tolist():
             if 4 * n * shards > tokens:
                 hot[k], totals[k] = min(shards, 1 + 4 * n * shards // tokens), n
+    totals = {k: n for k, n in totals.items() if hot[k] > 1}
     messages = made.mapInArrow(_pair_messages(shards, hot), _MESSAGE_SQL)
     if tries is not None:
-        model = lambda t: pa.table({"shard": t.column("shard").slice(0, 1), "trie": pa.array([_shard_trie(*(np.concatenate(x) for x in _shard_pairs(t.to_pylist())), totals)], pa.binary())})
+        model = lambda t: pa.table({"shard": t.column("shard").slice(0, 1), "trie": pa.array([_shard_trie(*_merged(*(np.concatenate(x) for x in _shard_pairs(t.to_pylist())))[:3], totals)[0]], pa.binary())})
         tries.append(messages.groupBy("shard").applyInArrow(model, "shard int, trie binary"))
-    pairs = messages.groupBy("shard").applyInArrow(_answer_pairs(totals), _ANSWER_SQL)
-    answers = words.where("kind = 'word'").unionByName(pairs)
+    pairs = materialize(messages.groupBy("shard").applyInArrow(_answer_pairs(totals), _ANSWER_SQL))
+    # Successors of the contexts that are in several shards: a number for each of those and each context.
+    spread: dict[int, int] = {}
+    for r in pairs.where("kind = 'types'").select("data").toLocalIterator():
+        for k, n in np.frombuffer(r["data"], np.uint64).reshape(2, -1).T.tolist():
+            spread[k] = spread.get(k, 0) + n
+    weights = {k: DISCOUNT * n / totals[k] for k, n in spread.items()}
+    answers = words.where("kind = 'word'").unionByName(pairs.where("kind = 'pair'"))
     kind = docs.schema[key].dataType
-    run = _score_block(shards, hot, tokens, types, to_arrow_type(kind))
+    run = _score_block(shards, hot, weights, tokens, types, to_arrow_type(kind))
     out = made.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"key {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

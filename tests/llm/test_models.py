@@ -20,7 +20,7 @@ def test_elias_fano_round_trips():
         v = np.sort(np.array(values, np.uint64))
         assert (elias_fano.decode(elias_fano.encode(v)) == v).all() and len(elias_fano.decode(elias_fano.encode(v))) == len(v)
     v = np.sort(rng.integers(0, 1 << 40, 10_000).astype(np.uint64))
-    assert len(elias_fano.encode(v)) < 10_000 * (2 + math.log2((1 << 40) / 10_000) + 1) / 8 + 64
+    assert len(elias_fano.encode(v)) < 10_000 * (2 + math.log2((1 << 40) / 10_000) + 1) / 8 + 256
 
 
 def test_trie_finds_what_is_there_and_nothing_else(tmp_path):
@@ -29,13 +29,46 @@ def test_trie_finds_what_is_there_and_nothing_else(tmp_path):
     first, second = (np.array(x, np.uint64) for x in zip(*grams, strict=True))
     p = np.linspace(1e-6, 1, len(grams))
     contexts, start = np.unique(first, return_index=True)
-    data = elias_fano.Trie.build(contexts, np.append(start, len(first)), second, p)
+    data = elias_fano.Trie.build(contexts, np.append(start, len(first)), second, p, np.linspace(0, 1, len(contexts)))
     (tmp_path / "trie").write_bytes(data)
-    for trie in (elias_fano.Trie(data), elias_fano.Trie.open(tmp_path / "trie")):
-        got = elias_fano.VALUE[trie.find(first, second)]
-        assert np.abs(np.log10(got) - np.log10(p)).max() <= 0.5 / elias_fano.STEPS + 1e-9
-        assert not trie.find(first + np.uint64(1), second).any()
-    assert elias_fano.Trie(elias_fano.Trie.build(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0))).find(first, second).sum() == 0
+    for trie in (elias_fano.Trie(data), elias_fano.Trie.open(tmp_path / "trie"), elias_fano.Trie.mapped(data)):
+        codes, weights = trie.find(first, second)
+        assert np.abs(np.log10(elias_fano.VALUE[codes]) - np.log10(p)).max() <= 0.5 / elias_fano.STEPS + 1e-9
+        assert (weights == elias_fano.quantise(np.linspace(0, 1, len(contexts)))[np.searchsorted(contexts, first)]).all()
+        assert not trie.find(first + np.uint64(1), second)[0].any() and not trie.find(first, second ^ np.uint64(1 << 33))[0].any()
+    none = np.zeros(0, np.uint64)
+    empty = elias_fano.Trie(elias_fano.Trie.build(none, np.zeros(1, np.int64), none, np.zeros(0), np.zeros(0)))
+    assert not empty.find(first, second)[0].any() and len(elias_fano.Trie(data).find(none, none)[0]) == 0
+
+
+def test_levels_stay_coded_when_they_are_searched(monkeypatch):
+    """A query reads the places it needs: no level is decoded, and what it touches does not grow with the trie."""
+    monkeypatch.setattr(elias_fano, "decode", None)
+    touched = {}
+    for n in (1_000, 100_000):
+        first = np.arange(n, dtype=np.uint64) // np.uint64(20) * np.uint64(977)
+        contexts, start = np.unique(first, return_index=True)
+        data = elias_fano.Trie.build(contexts, np.append(start, n), np.arange(n, dtype=np.uint64) % np.uint64(20) * np.uint64(1 << 35), np.full(n, 0.1), np.full(len(contexts), 0.5))
+        trie, reads = elias_fano.Trie.mapped(data), []
+        low = elias_fano.EliasFano._low
+        monkeypatch.setattr(elias_fano.EliasFano, "_low", lambda self, i: (reads.append(len(i)), low(self, i))[1])
+        assert trie.find(first[777:778], np.array([17 << 35], np.uint64))[0][0] > 0
+        monkeypatch.setattr(elias_fano.EliasFano, "_low", low)
+        touched[n] = sum(reads)
+        assert isinstance(trie.successors.low, np.ndarray) and trie.successors.low.base is not None and len(data) < 9 * n + 500
+    assert touched[100_000] <= touched[1_000] + 5
+
+
+def test_elias_fano_finds_places():
+    rng = np.random.default_rng(5)
+    for draw in (rng.integers(0, 1 << 62, 3000), rng.integers(0, 3000, 3000), np.concatenate([rng.integers(0, 1 << 50, 50), (1 << 61) + np.arange(4000)])):
+        v = np.unique(draw).astype(np.uint64)
+        e = elias_fano.EliasFano(np.frombuffer(elias_fano.encode(v), np.uint8))
+        ask = np.concatenate([v, v + np.uint64(1), [np.uint64(0), np.uint64((1 << 64) - 1)]])
+        at = np.searchsorted(v, ask)
+        want = np.where((at < len(v)) & (v[np.minimum(at, len(v) - 1)] == ask), at, -1)
+        assert (e.find(ask) == want).all() and (e[np.arange(len(v))] == v).all()
+        assert (e.find(v, np.full(len(v), 10), np.full(len(v), 20)) == np.where((np.arange(len(v)) >= 10) & (np.arange(len(v)) < 20), np.arange(len(v)), -1)).all()
 
 
 def lm_brute(rows):
@@ -46,11 +79,12 @@ def lm_brute(rows):
         if not h:
             c.update(w)
             c2.update(zip(["\n", *w], w, strict=False))
-    n, v, k = sum(c.values()), len(c), lm_score.PRIOR
+    n, v, k, types = sum(c.values()), len(c), lm_score.DISCOUNT, collections.Counter(a for a, _ in c2)
     single = lambda x: (c[x] + 0.5) / (n + 0.5 * (v + 1))
     out = []
     for (key, _), w, h in zip(rows, tokens, held, strict=True):
-        s = sum(math.log10(min(1, c2[a, b] / (c[a] + k) + k / (c[a] + k) * single(b))) for a, b in zip(["\n", *w], w, strict=False))
+        share = lambda a, b: max(c2[a, b] - k, 0) / c[a] + k * types[a] / c[a] * single(b) if c[a] else single(b)
+        s = sum(math.log10(min(1, share(a, b))) for a, b in zip(["\n", *w], w, strict=False))
         out.append((key, h, len(w), sum(c[x] > 0 for x in w), n, sum(math.log10(single(x)) for x in w), s))
     return out
 
@@ -64,7 +98,7 @@ def test_language_model_matches_brute_force(spark, rough, sf_dir, monkeypatch):
     want = sorted(lm_brute(rows), key=repr)
     for g, w in zip(got, want, strict=True):
         assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-7 * max(1, abs(w[5])) and abs(g[6] - w[6]) <= 0.02 * abs(w[6]) + 0.05
-    assert sum(len(elias_fano.Trie(bytes(r.trie)).contexts) for r in tries[0].collect()) > 1000
+    assert sum(elias_fano.Trie(bytes(r.trie)).contexts.n for r in tries[0].collect()) > 1000
     assert lm_score.score(docs.where(F.lit(False))).collect() == []
 
 
