@@ -31,7 +31,7 @@ from .elias_fano import KEY_BITS, VALUE, Trie, decode, encode
 
 #: Bytes of text in a block, and blocks for each shard.  There is a message for each block and shard, so both should grow
 #: with inputs of more than some terabytes; memory in a worker is some ten times either.
-BLOCK_BYTES, SHARD_BLOCKS = 4 << 20, 4
+BLOCK_BYTES, SHARD_BLOCKS = 4 << 20, 2
 #: What each pair's count is lessened by, for the pairs that were not seen.
 DISCOUNT = 0.9
 #: Documents with this remainder of crc32 modulo ``FOLDS`` are held out of training.
@@ -180,14 +180,19 @@ def _pair_messages(shards: int, hot: dict[int, int]):
     return run
 
 
-def _shard_pairs(rows: list[dict]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    first, second, count = [], [], []
-    for r in rows:
-        contexts, keys = decode(r["a"]), decode(r["b"])
-        first.append(contexts[(keys >> np.uint64(KEY_BITS)).astype(np.int64)])
-        second.append(keys & _KEY)
-        count.append(_spread(r["c"]))
-    return first, second, count
+def _shard_pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(first, second, count, sizes) of the pairs of all messages, and how many each message has."""
+    columns, sizes = tuple(t.column(c).to_pylist() for c in "abc"), []
+    for k in columns[1]:
+        sizes.append(int(np.frombuffer(k, "<u8", 1)[0]))
+    first, second, count = np.empty(sum(sizes), np.uint64), np.empty(sum(sizes), np.uint64), np.empty(sum(sizes), np.uint32)
+    at = 0
+    for a, b, c, n in zip(*columns, sizes, strict=True):
+        keys = decode(b)
+        first[at : at + n] = decode(a)[(keys >> np.uint64(KEY_BITS)).astype(np.int64)]
+        second[at : at + n], count[at : at + n] = keys & _KEY, _spread(c)
+        at += n
+    return first, second, count, sizes
 
 
 def _merged(first: np.ndarray, second: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -195,9 +200,9 @@ def _merged(first: np.ndarray, second: np.ndarray, count: np.ndarray) -> tuple[n
     order = np.lexsort((second, first))
     first, second = first[order], second[order]
     new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if len(first) else np.zeros(0, bool)
-    at, each = np.flatnonzero(new), np.empty(len(order), np.int64)
-    each[order] = np.cumsum(new) - 1
-    return first[at], second[at], np.add.reduceat(count[order], at) if len(at) else count, each
+    at, each = np.flatnonzero(new), np.empty(len(order), np.int32)
+    each[order] = np.cumsum(new, dtype=np.int32) - 1
+    return first[at], second[at], np.add.reduceat(count[order], at, dtype=np.int64) if len(at) else count, each
 
 
 def _shard_trie(first: np.ndarray, second: np.ndarray, count: np.ndarray, totals: dict[int, int]) -> tuple[bytes, dict[int, int]]:
@@ -223,20 +228,21 @@ def _shard_trie(first: np.ndarray, second: np.ndarray, count: np.ndarray, totals
 
 def _answer_pairs(totals: dict[int, int]):
     def run(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        asked = _shard_pairs(rows)
-        first, second, count, each = _merged(*(np.concatenate(x) for x in asked))
+        rows = t.select(["block", "shard"]).to_pylist()
+        asked, *more, sizes = _shard_pairs(t)
+        first, second, count, each = _merged(asked, *more)
         data, spread = _shard_trie(first, second, count, totals)
+        del count, more
         trie, codes, weights = Trie.mapped(data), np.zeros(len(first), np.uint8), np.zeros(len(first), np.uint8)
         for at in range(0, len(first), 1 << 18):
             part = slice(at, at + (1 << 18))
             codes[part], weights[part] = trie.find(first[part], second[part])
         out, at = [], 0
-        for f in asked[0]:
-            mine = each[at : at + len(f)]
+        for n in sizes:
+            mine, f = each[at : at + n], asked[at : at + n]
             new = np.concatenate([[True], f[1:] != f[:-1]])  # a weight for each context
             out.append(zstandard.compress(np.concatenate([codes[mine], weights[mine][new]]).tobytes(), 1))
-            at += len(f)
+            at += n
         none = [None] * len(rows)
         columns = {"block": [r["block"] for r in rows], "shard": [r["shard"] for r in rows], "kind": ["pair"] * len(rows), "data": out, "tokens": none, "types": none}
         more = {"block": [-1], "shard": [rows[0]["shard"]], "kind": ["types"], "data": [np.array([*spread, *spread.values()], np.uint64).tobytes()], "tokens": [None], "types": [None]}
@@ -309,7 +315,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", tries: list
     totals = {k: n for k, n in totals.items() if hot[k] > 1}
     messages = made.mapInArrow(_pair_messages(shards, hot), _MESSAGE_SQL)
     if tries is not None:
-        model = lambda t: pa.table({"shard": t.column("shard").slice(0, 1), "trie": pa.array([_shard_trie(*_merged(*(np.concatenate(x) for x in _shard_pairs(t.to_pylist())))[:3], totals)[0]], pa.binary())})
+        model = lambda t: pa.table({"shard": t.column("shard").slice(0, 1), "trie": pa.array([_shard_trie(*_merged(*_shard_pairs(t)[:3])[:3], totals)[0]], pa.binary())})
         tries.append(messages.groupBy("shard").applyInArrow(model, "shard int, trie binary"))
     pairs = materialize(messages.groupBy("shard").applyInArrow(_answer_pairs(totals), _ANSWER_SQL))
     # Successors of the contexts that are in several shards: a number for each of those and each context.
