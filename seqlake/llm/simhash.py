@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import with_position
 from .common import components, fresh, local_roots, materialize, quoted
 
 #: Fingerprints in the sample that the top of the tree is grown on; the top's size, and so what tasks get, is bounded by it.
@@ -142,29 +143,38 @@ def similar_groups(prints: DataFrame, radius: int = 4, shard_rows: int = 4096) -
     """(fingerprint, root) for each distinct fingerprint linked to another one within ``radius`` bits, directly or by steps.
 
     ``prints`` has a long column fingerprint; nulls are ignored, repeats count once, and an empty input gives no rows.
-    root orders fingerprints as unsigned numbers within tasks and as signed ones between them; it only names the group.
+    root is the group's smallest fingerprint as a signed number.
+    """
+    unique = prints.select("fingerprint").where("fingerprint is not null").distinct()
+    return linked(materialize(unique.withColumn("node", F.col("fingerprint"))), radius, shard_rows).withColumnRenamed("node", "fingerprint")
+
+
+def linked(unique: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
+    """(node, root) for each node linked to another one; root is the smallest node that it is linked to, itself included.
+
+    ``unique`` is a written table of distinct fingerprints with a long column node, also distinct.
     """
-    unique = materialize(prints.select("fingerprint").where("fingerprint is not null").distinct())
     count = unique.count()
-    depth = max(0, min(9, int(np.ceil(np.log2(max(1, count) / shard_rows)))))
-    share = min(1.0, 2 * TREE_SAMPLE / max(1, count))
-    sample = unique.where(F.pmod(F.xxhash64("fingerprint"), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("fingerprint").limit(TREE_SAMPLE)
-    tree = _grow(np.array([r[0] for r in sample.collect()] if depth else [], np.int64).view(np.uint64), depth)
+    depth = max(0, int(np.ceil(np.log2(max(1, count) / shard_rows))))
+    # A sample by hash, which says nothing of where a fingerprint lies.  It bounds the tree: nodes of fewer than 4 don't split.
+    mark = F.pmod(F.xxhash64("fingerprint"), F.lit(1 << 40))
+    sample = unique.select("fingerprint", mark.alias("mark")).where(F.col("mark") <= int(min(1.0, 2 * TREE_SAMPLE / max(1, count)) * (1 << 40))).orderBy("mark", "fingerprint").limit(TREE_SAMPLE)
+    tree = _grow(np.array([r["fingerprint"] for r in sample.collect()] if depth else [], np.int64).view(np.uint64), depth)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            out: list = []
-            _route(tree, f, np.arange(len(f)), radius, np.ones(len(f), bool), 0, out)
-            out = [(shard, f[rows[home]].tobytes(), f[rows].tobytes()) for shard, rows, home in out if len(rows)]
+            f, node = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            both, out = np.stack([f, node], axis=1), []
+            _route(tree, f.view(np.uint64), np.arange(len(f)), radius, np.ones(len(f), bool), 0, out)
+            out = [(shard, both[rows[home]].tobytes(), both[rows].tobytes()) for shard, rows, home in out if len(rows)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["shard", "home", "query"])
 
-    # A row is a block: what a batch of fingerprints has for a shard.
-    routed = materialize(unique.mapInArrow(route, "shard int, home binary, query binary"))
+    # A row is a block: what a batch of fingerprints, with their nodes, has for a shard.
+    routed = materialize(unique.select("fingerprint", "node").mapInArrow(route, "shard int, home binary, query binary"))
     # Each shard's home blocks are dealt into parts of bounded size, and each part meets the queries in parts as well.
-    sizes = routed.groupBy("shard").agg(F.sum(F.octet_length("home") / 8).alias("h"), F.sum(F.octet_length("query") / 8).alias("q"))
+    sizes = routed.groupBy("shard").agg(F.sum(F.octet_length("home") / 16).alias("h"), F.sum(F.octet_length("query") / 16).alias("q"))
     parts = sizes.select("shard", F.ceil(F.greatest(F.col("h"), F.lit(1)) / (4 * shard_rows)).cast("int").alias("hs"), F.ceil(F.greatest(F.col("q"), F.lit(1)) / (32 * shard_rows)).cast("int").alias("qs"))
-    cells = routed.join(F.broadcast(parts), "shard")  # at most 512 shards
+    cells = routed.join(F.broadcast(parts), "shard")  # shards: at most half of TREE_SAMPLE
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     none = F.lit(b"")
@@ -172,32 +182,46 @@ def similar_groups(prints: DataFrame, radius: int = 4, shard_rows: int = 4096) -
     as_query = cells.select("shard", all_of("hs").alias("i"), deal("query", "qs").alias("j"), none.alias("home"), "query")
 
     def search(t: pa.Table) -> pa.Table:
-        home, query = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64) for c in ("home", "query"))
+        home, query = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int64).reshape(-1, 2) for c in ("home", "query"))
         links: list = []
-        _search(home, query, radius, links)
+        _search(*(np.ascontiguousarray(x[:, 0]).view(np.uint64) for x in (home, query)), radius, links)
         a, b = (np.concatenate([x[k] for x in links] or [np.zeros(0, np.uint64)]) for k in (0, 1))
         if len(a):
+            all_ = np.concatenate([home, query])
+            prints, first = np.unique(all_[:, 0].view(np.uint64), return_index=True)
+            a, b = (all_[first[np.searchsorted(prints, x)], 1] for x in (a, b))
             nodes, roots = local_roots(a, b)
             a, b = nodes[nodes != roots], roots[nodes != roots]
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     links = as_home.unionByName(as_query).groupBy("shard", "i", "j").applyInArrow(search, "a long, b long")
-    return components(links).select(F.col("node").alias("fingerprint"), "root")
+    return components(links)
 
 
 def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """(key, fingerprint, component_id) per row: fingerprint as 16 hex digits, component_id the smallest key reachable
     over links of at most ``radius`` differing bits.
 
-    Empty and null texts have fingerprint zero and link like any other.  Repeated rows and keys each get a row; a null
-    key gets a row and is never a component's smallest key unless all its keys are null.  Other columns are not read.
+    Empty and null texts have fingerprint zero and link like any other; very long ones are read whole.  Keys are whole
+    numbers up to 2**62, or of any type that has an order.  Repeated rows and keys each get a row; a null key gets a row
+    and is never a component's smallest key unless all its keys are null.  Other columns are not read.
     """
     prints = materialize(with_fingerprint(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", shingle=shingle).drop("text"))
-    groups = similar_groups(prints, radius)
-    first = prints.groupBy("fingerprint").agg(F.min("key").alias("first"))
-    named = first.join(groups, "fingerprint", "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = named.join(smallest, "root").select("fingerprint", "component_id")
+    kind = prints.schema["key"].dataType
+    unique = prints.groupBy("fingerprint").agg(F.min("key").alias("first"))
+    if integral := kind.typeName() in ("byte", "short", "integer", "long"):
+        # A fingerprint is a node, named by its smallest key; those without any key come after all others.
+        top = prints.agg(F.max("key").cast("long")).first()[0]
+        keyless = max(0, (top if top is not None else -1) + 1)
+        unique = materialize(unique.withColumn("node", F.coalesce(F.col("first").cast("long"), F.lit(keyless).cast("long") + F.monotonically_increasing_id())))
+    else:
+        unique = materialize(with_position(unique.withColumn("none", F.col("first").isNull()), "none", "first", "fingerprint", name="node").drop("none"))
+    named = unique.join(linked(unique, radius), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if integral:
+        named = named.withColumn("component_id", F.when(F.col("root") < keyless, F.col("root")))
+    else:
+        named = named.join(unique.select(F.col("node").alias("root"), F.col("first").alias("component_id")), "root")
+    by_print = named.select("fingerprint", F.col("component_id").cast(kind).alias("component_id"))
     return prints.join(by_print, "fingerprint").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -209,9 +233,9 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     mark, row = fresh(docs, "fingerprint"), fresh(docs, "row")
     own = materialize(with_fingerprint(docs, text, mark, shingle).withColumn(row, F.monotonically_increasing_id()))
     prints = own.select(F.col(mark).alias("fingerprint"), F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(row).alias("r")).alias("rank"))
-    groups = similar_groups(prints.select("fingerprint"), radius)
-    # One row for each fingerprint first, before groups meet; equal keys are told apart by their place in the table.
-    first = prints.groupBy("fingerprint").agg(F.min("rank").alias("rank"))
-    named = first.join(groups, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    winners = named.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.r").alias(row))
+    # One row for each fingerprint first; nodes are in order of these, so a group's smallest node is the one to keep.
+    first = prints.groupBy("fingerprint").agg(F.min("rank").alias("rank")).select("fingerprint", "rank.*")
+    unique = materialize(with_position(first, "n", "k", "r", name="node"))
+    lesser = linked(unique.select("fingerprint", "node"), radius).where("node <> root").select("node")
+    winners = unique.join(lesser, "node", "left_anti").select(F.col("r").alias(row))
     return own.join(winners, row, "left_semi").select(*quoted(docs))

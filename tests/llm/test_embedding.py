@@ -49,3 +49,42 @@ def test_components_of_any_size(spark):
     rows = [(1, [1e200, 1e198]), (2, [1e-200, 0.0]), (3, [3.0, 0.01]), (4, [5e-324, 0.0]), (5, [0.0, 1e300])]
     out = embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted(map(tuple, out)) == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 0, 5, True)]
+
+
+def test_cells_bring_every_near_pair_together():
+    rng = np.random.default_rng(2)
+    for centres, noise in ((1, 1.0), (40, 0.05)):
+        x = rng.normal(size=(centres, 6))[rng.integers(0, centres, 1500)] + noise * rng.normal(size=(1500, 6))
+        tree = embedding_dedup._split(x[:500], 0.2, 6)
+        cells = embedding_dedup._deal(tree, x, 0.04)
+        assert sorted(np.concatenate([h for h, _ in cells]).tolist()) == list(range(1500))
+        met = {(min(a, b), max(a, b)) for home, others in cells for a in home.tolist() for b in [*home.tolist(), *others.tolist()] if a != b}
+        d = ((x[:, None] - x[None, :]) ** 2).sum(axis=2)
+        near = set(zip(*(v.tolist() for v in np.nonzero(np.triu(d <= 0.04, 1))), strict=True))
+        assert near <= met and (len(met) < 1500 * 1499 / 2 * (1 if centres == 1 else 0.3))
+
+
+def test_many_cells_lengths_and_key_types(spark, monkeypatch):
+    """Small cells and parts, vectors of several lengths, text keys, and vectors whose keys are all null."""
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 20)
+    monkeypatch.setattr(embedding_dedup, "HOME_ROWS", 16)
+    monkeypatch.setattr(embedding_dedup, "QUERY_ROWS", 24)
+    rng = np.random.default_rng(4)
+    rows = []
+    for d in (3, 8):
+        base = rng.normal(size=(60, d))
+        for i in range(260):
+            rows.append((f"k{len(rows):04d}" if i % 13 else None, (base[i % 60] + rng.normal(size=d) * 0.1 * (i % 5)).tolist()))
+    rows += [(None, [1.0, 2.0, 3.0, 4.0]), (None, [1.0, 2.0, 3.0, 4.0]), ("x", None), ("y", [0.0, 0.0])]
+    out = embedding_dedup.link(spark.createDataFrame(rows, "vec_id string, embedding array<double>"), blocks=2).collect()
+    links, root = [0] * len(rows), list(range(len(rows)))
+    unit = [None if v is None or not any(v) else np.array(v) / np.linalg.norm(v) for _, v in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95:
+                links[i], links[j] = links[i] + 1, links[j] + 1
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    small = [min((rows[j][0] for j in range(len(rows)) if root[j] == root[i] and rows[j][0] is not None), default=None) for i in range(len(rows))]
+    want = sorted(repr((rows[i][0], links[i], small[i])) for i in range(len(rows)))
+    assert sorted(repr((r.vec_id, r.n_links, r.component_id)) for r in out) == want

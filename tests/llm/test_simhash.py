@@ -81,3 +81,28 @@ def test_components(spark):
     nodes, roots = local_roots(*(np.array(x) for x in zip(*clean, strict=True)))
     assert sorted(map(tuple, components(df).collect())) == sorted(zip(nodes.tolist(), roots.tolist(), strict=True))
     assert components(df.where(F.lit(False))).collect() == []
+
+
+def test_keys_of_other_types_and_without_keys(spark, rough):
+    """Text keys, and texts whose keys are all null."""
+    rows = [("b", "x y z w v"), ("a", "x y z w v"), (None, "x y z w v"), (None, "all alone here now"), (None, "all alone here now"), ("é", None)]
+    out = sorted(map(repr, ((r.doc_id, r.component_id) for r in simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect())))
+    assert out == sorted(map(repr, [("b", "a"), ("a", "a"), (None, "a"), (None, None), (None, None), ("é", "é")]))
+    numbers = spark.createDataFrame([(-5, "x y z w v"), (7, "x y z w v"), (None, "all alone here now"), (0, "one more of them")], "doc_id int, text string")
+    assert sorted(((r.doc_id, r.component_id) for r in simhash.simhash_dedup(numbers).collect()), key=repr) == sorted([(-5, -5), (7, -5), (None, None), (0, 0)], key=repr)
+
+
+def test_sample_does_not_follow_values(spark):
+    """The top of the tree is grown on fingerprints from all over, not on the lowest ones."""
+    rng = np.random.default_rng(3)
+    prints = rng.integers(-(1 << 63), 1 << 63, 20_000)
+    grown = []
+    grow = simhash._grow
+    simhash._grow = lambda sample, depth: (grown.append((sample, depth)), grow(sample, depth))[1]
+    size, simhash.TREE_SAMPLE = simhash.TREE_SAMPLE, 500
+    try:
+        simhash.similar_groups(spark.createDataFrame([(int(x),) for x in prints], "fingerprint long"), 4, 64).count()
+    finally:
+        simhash._grow, simhash.TREE_SAMPLE = grow, size
+    sample, depth = grown[0]
+    assert len(sample) == 500 and depth == 9 and 0.4 < (sample >> np.uint64(63)).mean() < 0.6
