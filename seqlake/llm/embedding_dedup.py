@@ -25,7 +25,7 @@ FIT_ROWS, FIT_NUMBERS = 20_000, 4_000_000
 #: Vectors that a cell should hold, and vectors of the sample that it needs at least.
 CELL_ROWS, CELL_SAMPLE = 8_192, 8
 #: Rows of a cell compared in one task, as the ones and as the others.
-HOME_ROWS, QUERY_ROWS = 16_384, 65_536
+HOME_ROWS, QUERY_ROWS = 8_192, 32_768
 _SLACK, _SINGLE = 1e-9, 1e-5
 #: A cut that leaves a larger share of the sample within reach of it isn't worth its copies.
 PAYS = 0.85
@@ -118,7 +118,8 @@ def _compare(home, query, plan: Blocks, block: int, threshold: float, counts: di
     hu, qu = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (hx, qx))
     # Squared distance in the block less the budget, as one product of single precision, whose error the slack covers.
     axes, limit = plan.axes[block], plan.budget[block] + _SINGLE
-    ht, qt = plan.turned(hu)[:, axes], plan.turned(qu)[:, axes]
+    turn = np.ascontiguousarray(plan.rotation[:, axes])
+    ht, qt = hu @ turn, qu @ turn
     hs, qs = ((x**2).sum(axis=1, keepdims=True) for x in (ht, qt))
     left = np.concatenate([qt, qs - limit, np.ones_like(qs)], axis=1).astype(np.float32)
     right = np.ascontiguousarray(np.concatenate([-2 * ht, np.ones_like(hs), hs], axis=1).astype(np.float32).T)
