@@ -7,6 +7,7 @@ scores meet their labels.  The fitted sentence scores then say where a document
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -38,14 +39,14 @@ def features_of(text: str) -> set[str]:
 
 
 class Model:
-    """Feature weights and the sentence bias."""
+    """Feature weights, the bias of sentences that hold a feature, and the score of the others, which is ``quiet`` before the logistic function."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[str, float], bias: float, quiet: float | None = None):
+        self.weights, self.bias, self.quiet = weights, bias, quiet
         self.cache: dict[str, tuple] = {}
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights, "bias": self.bias, "cache": {}}
+        return {"weights": self.weights, "bias": self.bias, "quiet": self.quiet, "cache": {}}
 
     def of_word(self, word: str) -> tuple:
         """The word's features that have a weight."""
@@ -56,33 +57,39 @@ class Model:
             got = self.cache[word] = tuple(n for n in names if n in self.weights)
         return got
 
-    def sentences(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, score) of the sentences that hold a weighted feature; the others score ``quiet``."""
-        out, lower = [], text.lower()
+    def sentences(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
+        """(start, end, score) of the sentences that hold a weighted feature, and how many others have words."""
+        out, others, lower = [], 0, text.lower()
         if len(lower) != len(text):  # a letter that grows when lower-cased would move the places
             lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         for m in _SENTENCE.finditer(lower):
-            found = set()
-            for w in _WORD.findall(m[0]):
+            found, words = set(), _WORD.findall(m[0])
+            for w in words:
                 found.update(self.of_word(w))
             if found:
                 z = self.bias + sum(self.weights[f] for f in found)
                 out.append((m.start(), m.end(), 1 / (1 + np.exp(-z))))
-        return out
+            elif words:
+                others += 1
+        return out, others
+
+    def joined(self, found: list[tuple[int, int, float]], others: int) -> float:
+        """Noisy-or of all sentences' scores."""
+        calm = sum(math.log1p(-min(p, 1 - 1e-12)) for _, _, p in found)
+        if self.quiet is not None:
+            calm -= others * math.log1p(math.exp(self.quiet))  # log(1 - logistic(quiet))
+        return float(-math.expm1(calm))
 
     def score(self, text: str | None) -> float:
-        """Noisy-or of the sentences' scores: sentences without any weighted feature add nothing."""
-        calm = 1.0
-        for _, _, p in self.sentences(text or ""):
-            calm *= 1 - p
-        return float(1 - calm)
+        return self.joined(*self.sentences(text or ""))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit the model on the labelled rows of ``docs``.
 
     At most ``TRAIN_DOCS`` toxic and twice as many calm documents take part, those with the smallest hash of their key;
-    how the labels weigh is counted over all of them.  Equal texts with equal labels count once.  Null labels and rows without a label are left out; without
+    how the labels weigh is counted over all of them.  ``FEATURES`` words and beginnings take part, of those that are in
+    ``LEAST_DOCS`` of them and ``exp(LEAST_GAIN)`` times likelier in toxic ones.  Equal texts with equal labels count once.  Null labels and rows without a label are left out; without
     labels of both kinds no feature has a weight and all scores are 0.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.least(F.greatest(F.max(label), F.lit(0)), F.lit(1)).cast("int").alias("y"))
@@ -111,31 +118,39 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     p1, p0 = (F.col("toxic") + 0.5) / (n1 + 1), (F.col("calm") + 0.5) / (n0 + 1)
     best = counted.where(F.col("calm") + F.col("toxic") >= min(LEAST_DOCS, n1)).withColumn("gain", F.col("toxic") * F.log(p1 / p0)).where(F.log(p1 / p0) > LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()
     names = {r["feature"]: i for i, r in enumerate(best)}
+
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(dict.fromkeys(names, 0.0), 0.0)
         for b in batches:
-            bags = []
+            bags, others = [], []
             for t in b.column(0).to_pylist():
-                bag = []
+                bag, quiet = [], 0
                 for s in _SENTENCE.findall(t.lower()):
-                    found = sorted({names[f] for w in _WORD.findall(s) for f in m.of_word(w)})
+                    words = _WORD.findall(s)
+                    found = sorted({names[f] for w in words for f in m.of_word(w)})
                     if found:
                         bag += [*found, -1]
+                    quiet += bool(words) and not found
                 bags.append(bag)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(bags, pa.list_(pa.int32()))], names=["y", "bag"])
+                others.append(quiet)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(bags, pa.list_(pa.int32())), pa.array(others, pa.int32())], names=["y", "bag", "quiet"])
 
-    rows = own.select("t", "y").mapInArrow(sparse, "y int, bag array<int>").collect()  # bounded by TRAIN_DOCS and FEATURES
+    rows = own.select("t", "y").mapInArrow(sparse, "y int, bag array<int>, quiet int").collect()  # at most 3 * TRAIN_DOCS
     y = np.array([r["y"] for r in rows], float)
-    weights, bias = _fit(y, [r["bag"] for r in rows], len(names), total[1] / (total[0] + total[1]))
-    return Model({f: float(weights[i]) for f, i in names.items() if abs(weights[i]) > 1e-3}, bias)
+    weights, bias, quiet = _fit(y, [r["bag"] for r in rows], np.array([r["quiet"] for r in rows], float), len(names), total[1] / (total[0] + total[1]))
+    return Model({f: float(weights[i]) for f, i in names.items() if abs(weights[i]) > 1e-3}, bias, quiet)
 
 
 def _counts(seen: dict[str, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1))], names=["feature", "calm", "toxic"])
 
 
-def _fit(y: np.ndarray, bags: list[list[int]], features: int, share: float) -> tuple[np.ndarray, float]:
-    """Weights and bias by gradient ascent (Adam) on the documents' likelihood under the noisy-or."""
+def _fit(y: np.ndarray, bags: list[list[int]], others: np.ndarray, features: int, share: float) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and quiet score by gradient ascent (Adam) on the documents' likelihood under the noisy-or.
+
+    ``others`` counts each document's sentences without a feature.  They share one score, which may not be greater than
+    that of a sentence with a feature of no weight.
+    """
     feature, sentence, doc, s = [], [], [], 0
     for d, bag in enumerate(bags):
         for f in bag:
@@ -146,29 +161,31 @@ def _fit(y: np.ndarray, bags: list[list[int]], features: int, share: float) -> t
                 feature.append(f)
                 sentence.append(s)
     feature, sentence, doc = (np.array(x, np.int64) for x in (feature, sentence, doc))
-    w, b = np.zeros(features), -3.0
-    m, v = np.zeros(features + 1), np.zeros(features + 1)
+    w, b, q = np.zeros(features), -3.0, -8.0
+    m, v = np.zeros(features + 2), np.zeros(features + 2)
     have = np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())])
     pull = (np.array([1 - share, share]) / have)[y.astype(int)]  # as the labels weigh in all documents, not in the sample
     for step in range(1, ROUNDS + 1):
         z = np.clip(b + np.bincount(sentence, w[feature], minlength=s), -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        calm = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y)))
+        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-q))
+        calm = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y)) + others * np.log1p(-p0))
         # d log-likelihood / dz: p for a toxic document times calm / (1 - calm), and -p for a calm one.
         rate = np.where(y == 1, calm / np.maximum(1 - calm, 1e-6), -1.0) * pull
         dz = rate[doc] * p if s else np.zeros(0)
-        grad = np.concatenate([np.bincount(feature, dz[sentence], minlength=features) - PENALTY * w, [dz.sum()]])
+        grad = np.concatenate([np.bincount(feature, dz[sentence], minlength=features) - PENALTY * w, [dz.sum(), (rate * others).sum() * p0]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.1 * RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        w, b = np.maximum(0, w + move[:-1]), min(b + move[-1], -1.0)  # no word makes a sentence calmer
-    return w, float(b)
+        w, b = np.maximum(0, w + move[:-2]), min(b + move[-2], -1.0)  # no word makes a sentence calmer
+        q = min(max(q + move[-1], -20.0), b)
+    return w, float(b), float(q)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", spans: str | None = None) -> DataFrame:
     """``docs`` with the document score, a double from 0 to 1; ``spans`` names a column of offending sentences.
 
-    A span is (start, end, score) of a sentence whose score is at least one half, in code points.  Null and empty texts
-    score 0.  A column named like an output is replaced; the others pass through.
+    A span is (start, end, score) of a sentence whose score is at least one half, in code points.  Null and empty texts,
+    and texts without words, score 0; very long ones are read whole.  A column named like an output is replaced; the
+    others pass through, and every row gives one row.
     """
     docs = docs.drop(out, *([spans] if spans else []))
     extra = [F.lit(0.0).alias(out)] + ([F.array().cast("array<struct<start:int,end:int,score:double>>").alias(spans)] if spans else [])
@@ -178,8 +195,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
         for b in batches:
             scores, places = [], []
             for t in b.column(b.schema.get_field_index(text)).to_pylist():
-                found = model.sentences(t or "")
-                scores.append(float(1 - np.prod([1 - p for _, _, p in found])) if found else 0.0)
+                found, others = model.sentences(t or "")
+                scores.append(model.joined(found, others))
                 places.append([{"start": s, "end": e, "score": float(p)} for s, e, p in found if p >= 0.5])
             more = [pa.array(places, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))] if spans else []
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), *more], names=[*b.schema.names, out, *([spans] if spans else [])])

@@ -118,6 +118,16 @@ def test_toxicity_on_held_out_documents(spark):
     assert right >= 0.95 and sum(found) >= 0.7 * len(found)
 
 
+def test_every_sentence_takes_part_in_the_noisy_or(spark):
+    model = toxicity.Model({"gronk": 4.0}, -2.0, -7.0)
+    p, quiet = 1 / (1 + math.exp(-2.0)), 1 / (1 + math.exp(7.0))
+    assert abs(model.score("you gronk. one. two! ... \n three?") - (1 - (1 - p) * (1 - quiet) ** 3)) < 1e-12
+    assert 0 < model.score("one.") < model.score("one. two.") < 0.01 and model.score("... !?") == 0.0 == model.score(None)
+    d = "/root/testdata/sf0.01"
+    scores = [r.score for r in toxicity.held_out_scores(table(spark, d, "documents"), table(spark, d, "labels")).where("not held_out").collect()]
+    assert sum(x == 0 for x in scores) < 0.02 * len(scores)
+
+
 def test_toxicity_locates_sentences_and_takes_rough_input(spark, rough):
     rng = random.Random(8)
     calm = lambda: " ".join(rng.choices("the sun and a tree are green in spring when rain comes".split(), k=8)) + ". "
