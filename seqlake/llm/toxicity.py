@@ -27,6 +27,8 @@ LEAST_GAIN = 1.5
 #: Toxic documents that the model is fitted on, at most, and half the calm ones: some 100 MB of text at the most common lengths.
 TRAIN_DOCS = 10_000
 ROUNDS, RATE, PENALTY = 300, 0.5, 1e-4
+#: Texts in Python at a time.
+SLICE = 256
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -38,6 +40,16 @@ def features_of(text: str) -> set[str]:
     return words | {f"{w[:k]}*" for w in words for k in BEGINNINGS if len(w) >= k}
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, so that few texts are in Python at a time."""
+    return (b.slice(at, SLICE) for at in range(0, b.num_rows, SLICE))
+
+
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    for at in range(0, len(column), SLICE):
+        yield from column.slice(at, SLICE).to_pylist()
+
+
 class Model:
     """Feature weights, the bias of sentences that hold a feature, and the score of the others, which is ``quiet`` before the logistic function."""
 
@@ -51,7 +63,7 @@ class Model:
     def of_word(self, word: str) -> tuple:
         """The word's features that have a weight."""
         if (got := self.cache.get(word)) is None:
-            if len(self.cache) > 500_000:
+            if len(self.cache) > 100_000:
                 self.cache.clear()
             names = [word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) >= k)]
             got = self.cache[word] = tuple(n for n in names if n in self.weights)
@@ -101,12 +113,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
         for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for f in features_of(t.lower()):
-                    seen.setdefault(f, [0, 0])[y] += 1
-            if len(seen) > 300_000:
-                yield _counts(seen)
-                seen = {}
+            for part in _slices(b):
+                for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    for f in features_of(t.lower()):
+                        seen.setdefault(f, [0, 0])[y] += 1
+                if len(seen) > 100_000:
+                    yield _counts(seen)
+                    seen = {}
         yield _counts(seen)
 
     have = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -123,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         m = Model(dict.fromkeys(names, 0.0), 0.0)
         for b in batches:
             bags, others = [], []
-            for t in b.column(0).to_pylist():
+            for t in _texts(b.column(0)):
                 bag, quiet = [], 0
                 for s in _SENTENCE.findall(t.lower()):
                     words = _WORD.findall(s)
@@ -194,7 +207,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scores, places = [], []
-            for t in b.column(b.schema.get_field_index(text)).to_pylist():
+            for t in _texts(b.column(b.schema.get_field_index(text))):
                 found, others = model.sentences(t or "")
                 scores.append(model.joined(found, others))
                 places.append([{"start": s, "end": e, "score": float(p)} for s, e, p in found if p >= 0.5])
