@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from test_near_copies import brute_kept
+
 from seqlake.llm import elias_fano, langid, lm_score, toxicity
 from seqlake.llm.common import table
 
@@ -224,22 +226,68 @@ def test_many_labels_are_bounded(spark, monkeypatch):
 
 def test_pipeline_stages(spark, sf_dir, rough):
     import corpus_pipeline as p
-    from seqlake.llm import decontam, simhash
+    from seqlake.llm import decontam
 
     docs = table(spark, sf_dir, "documents")
     calm = p.drop_toxic(spark, docs, sf_dir)
     scores = {r.doc_id: r.predicted for r in toxicity.held_out_scores(docs, table(spark, sf_dir, "labels")).collect()}
     assert {r.doc_id for r in calm.collect()} == {k for k, v in scores.items() if not v}
     alone = p.near_dedup(spark, docs, sf_dir)
-    assert {r.doc_id for r in alone.collect()} == {r.doc_id for r in simhash.simhash_dedup(docs).collect() if r.doc_id == r.component_id}
+    # Five words and a Jaccard similarity of 0.8, by brute force: not op9's four words and four bits.
+    assert {r.doc_id for r in alone.collect()} == brute_kept([(r.doc_id, r.text) for r in docs.collect()])
     clean = p.decontaminate(spark, docs, sf_dir)
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in decontam.contamination(docs, table(spark, sf_dir, "benchmark")).collect() if not r.contaminated}
     safe = p.redact_secrets(spark, docs, sf_dir)
     assert all(r.n_chars == len(r.text) for r in safe.collect()) and safe.count() == docs.count()
     for stage in (calm, alone, clean, safe):
         assert stage.columns == docs.columns
-    out = p.run(spark, sf_dir)
-    left = {r.doc_id for r in out.select("doc_id").distinct().collect()}
-    assert left and left <= {r.doc_id for r in calm.collect()}
     empty = p.pack(spark, docs.limit(0), sf_dir)
     assert empty.collect() == []
+
+
+def test_the_whole_pipeline(spark, sf_dir):
+    """What is left, stage after stage, and every token of it: each decision by brute force or by the operator's own tested result."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+    from seqlake.llm import decontam, secret_scan
+
+    docs = table(spark, sf_dir, "documents")
+    toxic = {r.doc_id for r in toxicity.held_out_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1").collect()}
+    left = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id not in toxic]
+    kept = brute_kept(left)
+    left = spark.createDataFrame([r for r in left if r[0] in kept], "doc_id long, text string")
+    dirty = {r.doc_id for r in decontam.contamination(left, table(spark, sf_dir, "benchmark")).collect() if r.contaminated}
+    texts = {r.doc_id: r.text for r in secret_scan.redact(left.where(~F.col("doc_id").isin(dirty))).collect()}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = set()
+    for k, t in texts.items():
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        first = (len(ids) - 1) % 2048 + 1
+        for piece, (a, b) in enumerate(zip([0, *range(first, len(ids), 2048)], range(first, len(ids) + 1, 2048), strict=True)):
+            want.add((k, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+    out = p.run(spark, sf_dir).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out} == want and len(out) == len(want)
+    assert toxic and dirty and len(kept) < docs.count() - len(toxic)
+    used = collections.defaultdict(list)
+    for r in out:
+        used[r.sequence_id].append((r.offset, r.length))
+    for places in used.values():
+        assert [o for o, _ in sorted(places)] == np.cumsum([0, *(n for _, n in sorted(places))])[:-1].tolist() and sum(n for _, n in places) <= 2048
+
+
+def test_stages_take_rough_rows(spark, sf_dir, rough):
+    """Nulls in every column, empty and long texts, repeated rows and clashing names: a defined result in each stage."""
+    import corpus_pipeline as p
+
+    n, ids = rough.count(), lambda df: sorted(str(r.doc_id) for r in df.collect())
+    for stage, keeps in ((p.drop_toxic, n), (p.decontaminate, n), (p.redact_secrets, n)):
+        out = stage(spark, rough, sf_dir)
+        assert out.columns == rough.columns and ids(out) == ids(rough) and out.count() == keeps
+    assert {r.doc_id: r.n_chars for r in p.redact_secrets(spark, rough, sf_dir).collect()}[4] is None
+    packed = p.pack(spark, rough, sf_dir).collect()
+    assert {str(r.doc_id) for r in packed} == set(ids(rough)) and sum(r.piece == 0 for r in packed) == n
+    for stage in p.STAGES[:-1]:
+        assert stage[1](spark, rough.limit(0), sf_dir).collect() == []
+
