@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, materialize
-from .elias_fano import KEY_BITS, VALUE, Trie, decode, encode
+from .elias_fano import KEY_BITS, STEPS, VALUE, Trie, decode, encode, quantise
 
 #: Bytes of text in a block, and blocks for each shard.  There is a message for each block and shard, so both should grow
 #: with inputs of more than some terabytes; memory in a worker is some ten times either.
@@ -323,9 +323,31 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", tries: list
     for r in pairs.where("kind = 'types'").select("data").toLocalIterator():
         for k, n in np.frombuffer(r["data"], np.uint64).reshape(2, -1).T.tolist():
             spread[k] = spread.get(k, 0) + n
-    weights = {k: DISCOUNT * n / totals[k] for k, n in spread.items()}
+    weights = {k: float(VALUE[quantise(np.array([DISCOUNT * n / totals[k]]))[0]]) for k, n in spread.items()}
     answers = words.where("kind = 'word'").unionByName(pairs.where("kind = 'pair'"))
     kind = docs.schema[key].dataType
     run = _score_block(shards, hot, weights, tokens, types, to_arrow_type(kind))
     out = made.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"key {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_CODED = f"10.0::DOUBLE ** (-least(round_even(-log10(%s) * {STEPS}, 0), 254) / {STEPS})"
+#: The model from counts of words and pairs.  CRC-32 is worked out bit by bit, as the engine has no function for it.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+  xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+    lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295) % {FOLDS} = {HELD_OUT} AS held_out,
+  list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_LETTERS}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') || [chr(10)] AS w FROM documents),
+p AS (SELECT r, held_out, unnest([chr(10)] || w[:-2]) AS a, unnest(w) AS b FROM d),
+c AS (SELECT b AS word, count(*) AS n FROM p WHERE NOT held_out GROUP BY b),
+t AS (SELECT sum(n) AS tokens, sum(n) + 0.5::DOUBLE * (count(*) + 1) AS scale FROM c),
+c2 AS (SELECT a, b, count(*) AS n FROM p WHERE NOT held_out GROUP BY a, b),
+k AS (SELECT a, sum(n) AS total, count(*) AS types FROM c2 GROUP BY a),
+s AS (SELECT r, (coalesce(c.n, 0) + 0.5::DOUBLE) / (SELECT scale FROM t) AS single, c.n IS NOT NULL AS known,
+  CASE WHEN c2.n IS NULL THEN 0 ELSE {_CODED % f"((c2.n - {DISCOUNT}::DOUBLE) / k.total)"} END AS share, CASE WHEN k.total IS NULL THEN 1 ELSE {_CODED % f"({DISCOUNT}::DOUBLE * k.types / k.total)"} END AS rest
+  FROM p LEFT JOIN c ON c.word = p.b LEFT JOIN c2 ON c2.a = p.a AND c2.b = p.b LEFT JOIN k ON k.a = p.a),
+x AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, sum(log10(single)) AS base_score, sum(least(0, log10(share + rest * single))) AS score FROM s GROUP BY r)
+SELECT doc_id, held_out, n_tokens::BIGINT AS n_tokens, n_known::BIGINT AS n_known, (SELECT coalesce(tokens, 0) FROM t)::BIGINT AS train_tokens, round(base_score, 3) AS base_score, round(score, 3) AS score
+FROM d JOIN x USING (r)
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, embedding_dedup, langid, license_scan, lm_score, packing, secret_scan, simhash, toxicity, url_filter
 from .common import table
@@ -77,3 +78,17 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_embedding_dedup": embedding_dedup.ORACLE_SQL, "op4_benchmark_decontamination": decontam.ORACLE_SQL, "op5_url_filter": OP5_SQL, "op6_secret_scan": secret_scan.ORACLE_SQL, "op7_license_scan": license_scan.ORACLE_SQL}
+
+
+def lm_scores_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op8_lm_score`` to three decimals: sums of logarithms depend on their order, so SQL can only say so much."""
+    return op8_lm_score(spark, sf_dir).withColumns({c: F.round(c, 3) for c in ("base_score", "score")})
+
+
+def more_queries() -> dict[str, Query]:
+    """Queries for SQL to check what it can say of others."""
+    return {"lm_scores_rounded": lm_scores_rounded}
+
+
+def more_oracle_sql() -> dict[str, str]:
+    return {"lm_scores_rounded": lm_score.ORACLE_SQL}

@@ -15,6 +15,11 @@ def test_query_matches_sql(spark, sf_dir, name):
     compare(spark, queries.queries()[name], queries.oracle_sql()[name], sf_dir)
 
 
+@pytest.mark.parametrize("name", sorted(queries.more_oracle_sql()))
+def test_more_queries_match_sql(spark, sf_dir, name):
+    compare(spark, queries.more_queries()[name], queries.more_oracle_sql()[name], sf_dir)
+
+
 def test_ten_queries_and_the_pipeline():
     import corpus_pipeline
 
