@@ -24,6 +24,8 @@ from .common import components, fresh, local_roots, materialize, quoted
 TREE_SAMPLE = 20_000
 #: Comparisons in one block inside a shard.
 BLOCK = 1 << 21
+#: 64-bit words of a wide fingerprint; a byte holds the differing bits of three.
+WIDE = 3
 
 
 def _bits_of_bytes() -> np.ndarray:
@@ -66,6 +68,24 @@ def fingerprints_of(texts: pa.Array, shingle: int = 4) -> np.ndarray:
     return out
 
 
+def wide_fingerprints(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A row of ``WIDE`` words for each set of the hashes ``h`` that end at ``ends``: SimHash of more hashes made from each one.
+
+    A bit is set if it is set in over half of the set's hashes; an empty set has zeros.
+    """
+    out, table, total = np.zeros((len(ends), WIDE), np.uint64), _bits_of_bytes().astype(np.float64), np.diff(ends, prepend=0)
+    doc = np.repeat(np.arange(len(ends)), total) * 256
+    for w in range(WIDE):
+        mixed = (h ^ np.uint64(w + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((32, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB), (32, 1)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        for k, byte in enumerate(mixed.astype("<u8").view(np.uint8).reshape(-1, 8).T):
+            ones = np.bincount(doc + byte, minlength=len(ends) * 256).reshape(-1, 256) @ table
+            for j in range(8):
+                out[:, w] |= (2 * ones[:, j] > total).astype(np.uint64) << np.uint64(8 * k + j)
+    return out
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = 4) -> DataFrame:
     """``docs`` with a long column ``out`` of SimHash bits; other columns pass through.  A column of that name is replaced."""
     docs = docs.drop(out)
@@ -79,61 +99,97 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprin
     return docs.mapInArrow(run, schema)
 
 
-def _grow(sample: np.ndarray, depth: int) -> list:
-    """The top of a vantage-point tree, a tuple (point, median, near, far) at each node; None is a shard."""
-    if depth == 0 or len(sample) < 4:
-        return None
-    spread = np.bitwise_count(sample[:: max(1, len(sample) // 16)][:16, None] ^ sample[None, :]).astype(np.int64)
-    point = sample[:: max(1, len(sample) // 16)][:16][spread.var(axis=1).argmax()]  # that tells most apart
-    d = np.bitwise_count(sample ^ point)
+def _apart(f: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Bits in which each fingerprint of ``f`` differs from ``point``; a row of ``f`` for each 64-bit word."""
+    return np.bitwise_count(f ^ point[:, None]).sum(axis=0, dtype=np.int64)
+
+
+def _split(f: np.ndarray, size: np.ndarray, least: float, points: int, seen: int):
+    """(point, bound, which are near) of a split in two; None where no split tells any apart.
+
+    The point that tells most of some fingerprints apart, but while sizes differ by more than linked ones may it is the
+    empty set, written None: a set's distance from that is its size.
+    """
+    point, d = None, size
+    if size.max() * least <= size.min():
+        some, others = f[:, :: max(1, f.shape[1] // points)][:, :points], f[:, :: max(1, f.shape[1] // seen)]
+        point = some[:, np.argmax([_apart(others, x).var() for x in some.T])]  # that tells most apart
+        d = _apart(f, point)
     mid = int(np.median(d))
-    if not 0 < (d <= mid).sum() < len(sample):
+    if not 0 < (d <= mid).sum() < len(d):
         mid -= 1
-    if not 0 < (d <= mid).sum() < len(sample):
-        return None
-    return (point, mid, _grow(sample[d <= mid], depth - 1), _grow(sample[d > mid], depth - 1))
+    near = d <= mid
+    return (point, mid, near) if 0 < near.sum() < len(d) else None
+
+
+def _reach(f: np.ndarray, size: np.ndarray, point, mid: int, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which queries may have links on the near and on the far side.  Of two sizes the larger one is the query."""
+    if point is None:
+        return size * least <= mid + 1e-6, size > mid
+    d = _apart(f, point)
+    return d - radius <= mid, d + radius > mid
 
 
-def _route(node, f: np.ndarray, rows: np.ndarray, radius: int, home: np.ndarray, shard: int, out: list) -> int:
+def _grow(sample: np.ndarray, depth: int, size: np.ndarray | None = None, least: float = 0.0) -> list:
+    """The top of a vantage-point tree, a tuple (point, median, near, far) at each node; None is a shard.
+
+    ``sample`` has a number for each fingerprint, or a row for each of its words.
+    """
+
+    def grow(f: np.ndarray, size: np.ndarray, depth: int):
+        if depth == 0 or f.shape[1] < 4 or (cut := _split(f, size, least, 16, f.shape[1])) is None:
+            return None
+        point, mid, near = cut
+        return (point, mid, *(grow(f[:, m], size[m], depth - 1) for m in (near, ~near)))
+
+    f = np.atleast_2d(sample)
+    return grow(f, np.zeros(f.shape[1], np.int64) if size is None else size, depth)
+
+
+def _route(node, f: np.ndarray, size: np.ndarray, rows: np.ndarray, radius: int, least: float, home: np.ndarray, shard: int, out: list) -> int:
     """Append (shard, rows, is home) for each shard that the rows reach; returns the next shard's number."""
     if node is None:
         out.append((shard, rows, home))
         return shard + 1
     point, mid, near, far = node
-    d = np.bitwise_count(f[rows] ^ point).astype(np.int64)
-    a, b = d - radius <= mid, d + radius > mid
-    shard = _route(near, f, rows[a], radius, home[a] & (d[a] <= mid), shard, out)
-    return _route(far, f, rows[b], radius, home[b] & (d[b] > mid), shard, out)
+    a, b = _reach(f[:, rows], size[rows], point, mid, radius, least)
+    own = (size[rows] if point is None else _apart(f[:, rows], point)) <= mid
+    shard = _route(near, f, size, rows[a], radius, least, (home & own)[a], shard, out)
+    return _route(far, f, size, rows[b], radius, least, (home & ~own)[b], shard, out)
+
+
+#: What a shard holds of its rows: nodes, sizes, and a row for each word of the fingerprints.
+_Part = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _some(part: _Part, which: np.ndarray) -> _Part:
+    return part[0][which], part[1][which], part[2][:, which]
 
 
-def _search(home: np.ndarray, query: np.ndarray, radius: int, links: list) -> None:
+def _search(home: _Part, query: _Part, radius: int, least: float, links: list) -> None:
     """Links between ``home`` and ``query`` within ``radius``, by a vantage-point tree of ``home``."""
-    if not len(home) or not len(query):
+    n, m = len(home[0]), len(query[0])
+    if not n or not m:
         return
-    if len(home) <= 48 or len(home) * len(query) <= BLOCK // 8:
-        _compare(home, query, radius, links)
+    if n <= 48 or n * m <= BLOCK // 8 or (cut := _split(home[2], home[1], least, 8, 256)) is None:
+        _compare(home, query, radius, least, links)
         return
-    some = home[:: max(1, len(home) // 8)][:8]
-    spread = np.bitwise_count(some[:, None] ^ home[:: max(1, len(home) // 256)][None, :]).astype(np.int64)
-    point = some[spread.var(axis=1).argmax()]
-    dh, dq = np.bitwise_count(home ^ point).astype(np.int64), np.bitwise_count(query ^ point).astype(np.int64)
-    mid = int(np.median(dh))
-    if not 0 < (dh <= mid).sum() < len(home):
-        mid -= 1
-    if not 0 < (dh <= mid).sum() < len(home):
-        _compare(home, query, radius, links)
-        return
-    near = dh <= mid
-    _search(home[near], query[dq - radius <= mid], radius, links)
-    _search(home[~near], query[dq + radius > mid], radius, links)
-
-
-def _compare(home: np.ndarray, query: np.ndarray, radius: int, links: list) -> None:
-    step = max(1, BLOCK // len(home))
-    for i in range(0, len(query), step):
-        q, h = np.nonzero(np.bitwise_count(query[i : i + step, None] ^ home[None, :]) <= radius)
-        a, b = query[i + q], home[h]
-        a, b = a[a != b], b[a != b]
+    point, mid, near = cut
+    a, b = _reach(query[2], query[1], point, mid, radius, least)
+    _search(_some(home, near), _some(query, a), radius, least, links)
+    _search(_some(home, ~near), _some(query, b), radius, least, links)
+
+
+def _compare(home: _Part, query: _Part, radius: int, least: float, links: list) -> None:
+    step = max(1, BLOCK // (1 if len(home[2]) == 1 else 64) // len(home[0]))
+    for i in range(0, len(query[0]), step):
+        d = np.bitwise_count(query[2][0, i : i + step, None] ^ home[2][0, None, :])
+        for x, y in zip(query[2][1:], home[2][1:], strict=True):  # at most WIDE words: a byte holds the sum
+            d += np.bitwise_count(x[i : i + step, None] ^ y[None, :])
+        q, h = np.nonzero(d <= radius)
+        a, b, x, y = query[0][i + q], home[0][h], query[1][i + q], home[1][h]
+        ok = (a != b) & (np.minimum(x, y) >= least * np.maximum(x, y) - 1e-6)
+        a, b = a[ok], b[ok]
         if len(a):
             nodes, roots = local_roots(a, b)  # a spanning star says as much as all pairs
             links.append((nodes[nodes != roots], roots[nodes != roots]))
@@ -149,30 +205,45 @@ def similar_groups(prints: DataFrame, radius: int = 4, shard_rows: int = 4096) -
     return linked(materialize(unique.withColumn("node", F.col("fingerprint"))), radius, shard_rows).withColumnRenamed("node", "fingerprint")
 
 
-def linked(unique: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
+def linked(unique: DataFrame, radius: int = 4, shard_rows: int = 4096, least: float = 0.0) -> DataFrame:
     """(node, root) for each node linked to another one; root is the smallest node that it is linked to, itself included.
 
-    ``unique`` is a written table of distinct fingerprints with a long column node, also distinct.
+    ``unique`` is a written table of fingerprints, long or of ``WIDE`` 64-bit words in a binary, with a long column
+    node, which is distinct; long fingerprints are distinct as well.  With ``least`` it has the sets' sizes, too, in an
+    integer column size, and two nodes are linked only if the lesser size is at least that share of the other.
     """
-    count = unique.count()
+    count, sized, wide = unique.count(), least > 0, unique.schema["fingerprint"].dataType.typeName() == "binary"
     depth = max(0, int(np.ceil(np.log2(max(1, count) / shard_rows))))
+    size_of = [F.col("size").cast("long").alias("size")] if sized else []
+
+    def numbers(prints) -> np.ndarray:
+        return np.frombuffer(b"".join(prints), np.int64).reshape(-1, WIDE) if wide else np.asarray(prints, np.int64).reshape(-1, 1)
+
+    def part(rows: np.ndarray) -> _Part:
+        size = rows[:, 1] if sized else np.zeros(len(rows), np.int64)
+        return rows[:, 0], size, np.ascontiguousarray(rows[:, 1 + sized :].T).view(np.uint64)
+
     # A sample by hash, which says nothing of where a fingerprint lies.  It bounds the tree: nodes of fewer than 4 don't split.
     mark = F.pmod(F.xxhash64("fingerprint"), F.lit(1 << 40))
-    sample = unique.select("fingerprint", mark.alias("mark")).where(F.col("mark") <= int(min(1.0, 2 * TREE_SAMPLE / max(1, count)) * (1 << 40))).orderBy("mark", "fingerprint").limit(TREE_SAMPLE)
-    tree = _grow(np.array([r["fingerprint"] for r in sample.collect()] if depth else [], np.int64).view(np.uint64), depth)
+    sample = unique.select("fingerprint", *size_of, mark.alias("mark")).where(F.col("mark") <= int(min(1.0, 2 * TREE_SAMPLE / max(1, count)) * (1 << 40))).orderBy("mark", "fingerprint").limit(TREE_SAMPLE)
+    sample = sample.collect() if depth else []
+    top = np.ascontiguousarray(numbers([r["fingerprint"] for r in sample]).T).view(np.uint64)
+    tree = _grow(top, depth, np.array([r["size"] for r in sample], np.int64), least) if sized else _grow(top if wide else top[0], depth)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f, node = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            both, out = np.stack([f, node], axis=1), []
-            _route(tree, f.view(np.uint64), np.arange(len(f)), radius, np.ones(len(f), bool), 0, out)
-            out = [(shard, both[rows[home]].tobytes(), both[rows].tobytes()) for shard, rows, home in out if len(rows)]
+            prints = numbers(b.column(0).to_pylist() if wide else b.column(0).to_numpy())
+            rows = np.column_stack([*(b.column(k).to_numpy() for k in range(1, 2 + sized)), prints])
+            (_, size, f), out = part(rows), []
+            _route(tree, f, size, np.arange(len(rows)), radius, least, np.ones(len(rows), bool), 0, out)
+            out = [(shard, rows[own[home]].tobytes(), rows[own].tobytes()) for shard, own, home in out if len(own)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["shard", "home", "query"])
 
     # A row is a block: what a batch of fingerprints, with their nodes, has for a shard.
-    routed = materialize(unique.select("fingerprint", "node").mapInArrow(route, "shard int, home binary, query binary"))
+    routed = materialize(unique.select("fingerprint", "node", *size_of).mapInArrow(route, "shard int, home binary, query binary"))
+    width = 8 * (1 + sized + (WIDE if wide else 1))
     # Each shard's home blocks are dealt into parts of bounded size, and each part meets the queries in parts as well.
-    sizes = routed.groupBy("shard").agg(F.sum(F.octet_length("home") / 16).alias("h"), F.sum(F.octet_length("query") / 16).alias("q"))
+    sizes = routed.groupBy("shard").agg(F.sum(F.octet_length("home") / width).alias("h"), F.sum(F.octet_length("query") / width).alias("q"))
     parts = sizes.select("shard", F.ceil(F.greatest(F.col("h"), F.lit(1)) / (4 * shard_rows)).cast("int").alias("hs"), F.ceil(F.greatest(F.col("q"), F.lit(1)) / (32 * shard_rows)).cast("int").alias("qs"))
     cells = routed.join(F.broadcast(parts), "shard")  # shards: at most half of TREE_SAMPLE
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
@@ -182,17 +253,15 @@ def linked(unique: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFr
     as_query = cells.select("shard", all_of("hs").alias("i"), deal("query", "qs").alias("j"), none.alias("home"), "query")
 
     def search(t: pa.Table) -> pa.Table:
-        home, query = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int64).reshape(-1, 2) for c in ("home", "query"))
+        home, query = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int64) for c in ("home", "query"))
         links: list = []
-        _search(*(np.ascontiguousarray(x[:, 0]).view(np.uint64) for x in (home, query)), radius, links)
-        a, b = (np.concatenate([x[k] for x in links] or [np.zeros(0, np.uint64)]) for k in (0, 1))
+        if len(home) and len(query):
+            _search(*(part(x.reshape(-1, width // 8)) for x in (home, query)), radius, least, links)
+        a, b = (np.concatenate([x[k] for x in links] or [np.zeros(0, np.int64)]) for k in (0, 1))
         if len(a):
-            all_ = np.concatenate([home, query])
-            prints, first = np.unique(all_[:, 0].view(np.uint64), return_index=True)
-            a, b = (all_[first[np.searchsorted(prints, x)], 1] for x in (a, b))
             nodes, roots = local_roots(a, b)
             a, b = nodes[nodes != roots], roots[nodes != roots]
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        return pa.table({"a": a, "b": b})
 
     links = as_home.unionByName(as_query).groupBy("shard", "i", "j").applyInArrow(search, "a long, b long")
     return components(links)

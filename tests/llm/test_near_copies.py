@@ -3,11 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from seqlake.llm import near_copies
+from seqlake.llm import near_copies, simhash
 from seqlake.llm.common import table
 
 
@@ -73,3 +74,48 @@ def test_rough_input(spark, rough, sf_dir):
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == rough.columns and ids.count(1) == 1 and 2 not in ids and 3 in ids and 4 not in ids and 8 in ids
     assert corpus_pipeline.near_dedup(spark, rough.limit(0), sf_dir).collect() == []
+
+
+def test_candidates_are_those_of_simhash(spark, sf_dir, monkeypatch):
+    """Groups that the stage compares come from the trees over fingerprints; what those don't give, nothing else does."""
+    given, near = [], simhash.linked
+    monkeypatch.setattr(simhash, "linked", lambda *a: (given.append(a), near(*a))[1])
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "other")], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()} == {1, 3}
+    assert len(given) == 1 and given[0][1:] == (near_copies.RADIUS, near_copies.SHARD_ROWS, 0.8)
+    monkeypatch.setattr(simhash, "linked", lambda *a: near(*a).where("node is null"))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("sizes", [(4, 5, 4), (5, 6, 5), (8, 10, 8), (9, 9, 8), (18, 18, 16), (90, 90, 80), (900, 900, 800), (80, 100, 80)])
+def test_similar_sets_are_within_the_radius(sizes):
+    """Pairs at 0.8, or just above it where sets are too small for that."""
+    rng = np.random.default_rng(5)
+    a, b, both = sizes
+    n = 2000
+    h = rng.integers(0, 1 << 64, (n, a + b - both), dtype=np.uint64)
+    first, second = (simhash.wide_fingerprints(np.ascontiguousarray(x).ravel(), np.arange(1, n + 1) * x.shape[1]) for x in (h[:, :a], h[:, a - both :]))
+    d = np.bitwise_count(first ^ second).sum(axis=1)
+    assert 15 < d.mean() < 38 and d.max() <= near_copies.RADIUS
+
+
+@pytest.mark.parametrize("shard_rows", [64, 4096])
+def test_trees_over_wide_fingerprints_and_sizes(spark, shard_rows):
+    rng = np.random.default_rng(6)
+    sets = []
+    for k in range(120):
+        base = rng.integers(0, 1 << 64, int(4 * 1.06**k), dtype=np.uint64)
+        sets += [base, base[: -max(1, len(base) // 8)], np.append(base, rng.integers(0, 1 << 64, 1 + len(base) // 8, dtype=np.uint64)), base[: len(base) // 2]]
+    prints = simhash.wide_fingerprints(np.concatenate(sets), np.cumsum([len(s) for s in sets]))
+    rows = [(int(i), len(s), f.tobytes()) for i, (s, f) in enumerate(zip(sets, prints, strict=True))]
+    unique = near_copies.materialize(spark.createDataFrame(rows, "node long, size int, fingerprint binary"))
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if small >= 0.8 * large and np.bitwise_count(prints[i] ^ prints[j]).sum() <= 60 and root[i] != root[j]:
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    got = {r.node: r.root for r in simhash.linked(unique, 60, shard_rows, 0.8).collect()}
+    assert [got.get(i, i) for i in range(len(rows))] == root and len(set(root)) < 0.6 * len(rows)
