@@ -11,6 +11,8 @@ from ..functions.tables import drop_table, materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space of the word contracts of language-model scoring and SimHash.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Masks of 64 rows that are sent to every task, at most.
+BROADCAST_MASKS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,19 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+def only_rows(df: DataFrame, row: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose number in the column ``row`` is in the column of that name of ``ids``; repeats there are harmless.
+
+    Numbers are those of monotonically_increasing_id.  Every task gets a bit for each number, so that the rows of
+    ``df``, texts and all, stay where they are; only beyond ``BROADCAST_MASKS`` masks are they joined by shuffle.
+    """
+    word, mask, number = fresh(df, "word"), fresh(df, "mask"), F.col(row)
+    at, bit = F.shiftright(number, 6), number.bitwiseAND(F.lit(63)).cast("int")
+    masks = materialize(ids.groupBy(at.alias(word)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias(mask)))
+    small = F.broadcast if masks.count() <= BROADCAST_MASKS else lambda x: x
+    return df.join(small(masks), at == F.col(word)).where(F.getbit(mask, bit) == 1).drop(word, mask)
+
+
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Connected components of the links ``a``-``b`` in one task: nodes, and the smallest node of each one's component."""
     nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)

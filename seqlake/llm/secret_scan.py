@@ -165,7 +165,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
     A null text stays null.
     """
-    found = materialize(find(docs, text, text, tuple(docs.columns)))
+    # Rows are kept whole; a key, too, would be a second copy of each text.
+    found = materialize(find(docs, text, text, tuple(docs.columns)).withColumn("__key", F.lit(0)))
     spans = fresh(docs, "spans")
     done = all_spans(found).select("__keep.*", F.col("spans").alias(spans))
     t = F.col(text)

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from seqlake.llm import near_copies, simhash
+from seqlake.llm import common, near_copies, simhash
 from seqlake.llm.common import table
 
 
@@ -119,3 +119,32 @@ def test_trees_over_wide_fingerprints_and_sizes(spark, shard_rows):
                 root = [min(x, y) if r in (x, y) else r for r in root]
     got = {r.node: r.root for r in simhash.linked(unique, 60, shard_rows, 0.8).collect()}
     assert [got.get(i, i) for i in range(len(rows))] == root and len(set(root)) < 0.6 * len(rows)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_rows_by_their_numbers(spark, monkeypatch, most):
+    """By masks that every task gets, and by shuffle beyond their limit."""
+    monkeypatch.setattr(common, "BROADCAST_MASKS", most)
+    ids = [x for k in (0, 1, 5, (1 << 30) - 1) for x in ((k << 33) + np.array([0, 1, 62, 63, 64, 127, 128, 32767, 32768])).tolist()]
+    df = spark.createDataFrame([(x, "t", 1, 2) for x in ids], "row long, word string, mask int, `a.b` int")
+    wanted = [x for x in ids if x % 64 in (0, 63) and x >> 33 != 1]
+    got = common.only_rows(df, "row", spark.createDataFrame([(x,) for x in wanted * 2], "row long"))
+    assert got.columns == df.columns and sorted(r.row for r in got.collect()) == sorted(wanted)
+    assert common.only_rows(df, "row", df.select("row").limit(0)).count() == 0
+
+
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    """Neither as sets are made nor in the result, even where no table is small enough for Spark to send it of its own accord."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made, plans = near_copies._sets, []
+        monkeypatch.setattr(near_copies, "_sets", lambda *a: (out := made(*a), plans.append(out))[0])
+        text = " ".join(f"w{i}" for i in range(200))
+        docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "other")], "doc_id long, text string")
+        kept = near_copies.keep_first(docs)
+        assert {r.doc_id for r in kept.collect()} == {1, 3} and len(plans) == 1
+        for df in (kept, plans[0]):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import time
@@ -88,6 +89,16 @@ def test_redaction(spark, rough):
     assert texts[4] is None and texts[3] == "" and out.count() == df.count()
 
 
+def test_redaction_writes_each_text_once(spark, monkeypatch, tmp_path):
+    """A table of random words does not compress; what is written on the way is about as large as the input."""
+    rng, written = random.Random(4), []
+    monkeypatch.setattr(secret_scan, "materialize", lambda df, make=secret_scan.materialize: (written.append(out := make(df)), out)[1])
+    spark.createDataFrame([(i, "".join(rng.choices("ghjklmnopqrstuvwxyz ", k=5000))) for i in range(400)], "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    size = lambda df: sum(os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles())
+    assert secret_scan.redact(docs).count() == 400 and len(written) == 1 and size(written[0]) < 1.3 * size(docs)
+
+
 def brute_license(text):
     w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
     hits = sorted((i, label) for p, label in license_scan.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
